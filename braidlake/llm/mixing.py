@@ -39,9 +39,12 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     named = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     rows = [(cap * n, weights[i % len(weights)], s) for i, (s, n) in enumerate(named)]
     left, weight, out = share * sum(n for _, n in sizes), sum(w for _, w, _ in rows), {}
+    level = None
     for most, w, s in sorted(rows, key=lambda x: (x[0] / x[1], x[2] is None, x[2] or "")):
-        out[s] = min(most, left * w / weight) if weight > 0 else 0.0
-        left, weight = left - out[s], weight - w
+        if level is None and most / w > left / weight:
+            level = left / weight
+        out[s] = most if level is None else level * w
+        left, weight = left - most, weight - w
     return out
 
 
@@ -94,7 +97,7 @@ WITH d AS (
     (SELECT sum(source_size) FROM s) * 1.5::DOUBLE AS total
   FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
 ), cut AS (
-  SELECT coalesce(min((total - before) / rest), 1e300) AS level FROM c WHERE most / weight > (total - before) / rest
+  SELECT coalesce(arg_min((total - before) / rest, most / weight), 1e300) AS level FROM c WHERE most / weight > (total - before) / rest
 ), t AS (
   SELECT source, source_size, least(most, level * weight) AS target,
     ('0x' || substr(md5('mix-1|' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift
