@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from braidlake.llm import mixing, sharding
+from braidlake.llm import audio, bpe, mixing, sharding
 
 
 def queries():
-    return {"op8_sharding": sharding.op8_sharding, "op10_mixing": mixing.op10_mixing}
+    return {"op3_bpe": bpe.op3_bpe, "op4_media": audio.op4_media, "op8_sharding": sharding.op8_sharding, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql():

@@ -60,13 +60,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     # Polynomial in the place within the word, so that equal words hash alike wherever they stand.
     place = np.arange(len(data), dtype=np.int64)
     place -= np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.concatenate([place[: starts[0]], np.repeat(starts, np.diff(np.append(starts, len(data))))])
-    powers = _powers(int(place[word].max()) + 1)
+    powers = powers_of(int(place[word].max()) + 1)
     value = (data.astype(np.uint64) + np.uint64(1)) * powers[np.where(word, place, 0)]
     value[~word] = 0
     return mix64(np.add.reduceat(value, starts)), bounds, starts
 
 
-def _powers(n: int) -> np.ndarray:
+def powers_of(n: int) -> np.ndarray:
     out = np.full(n, _B, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
