@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from braidlake.llm import audio, bpe, mixing, sharding
+from braidlake.llm import audio, bpe, mixing, sharding, topk
 
 
 def queries():
-    return {"op3_bpe": bpe.op3_bpe, "op4_media": audio.op4_media, "op8_sharding": sharding.op8_sharding, "op10_mixing": mixing.op10_mixing}
+    return {"op3_bpe": bpe.op3_bpe, "op4_media": audio.op4_media, "op5_topk": topk.op5_topk, "op8_sharding": sharding.op8_sharding, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql():
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op5_topk": topk.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
