@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from braidlake.llm import audio, bpe, mixing, sharding, topk
+from braidlake.llm import audio, bpe, mixing, pii, sharding, topk
 
 
 def queries():
-    return {"op3_bpe": bpe.op3_bpe, "op4_media": audio.op4_media, "op5_topk": topk.op5_topk, "op8_sharding": sharding.op8_sharding, "op10_mixing": mixing.op10_mixing}
+    return {"op3_bpe": bpe.op3_bpe, "op4_media": audio.op4_media, "op5_topk": topk.op5_topk, "op6_pii": pii.op6_pii, "op8_sharding": sharding.op8_sharding, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql():
