@@ -123,7 +123,7 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
             kept = [(i, x) for i, x in enumerate(np.split(df, _SLICES)) if x.any()]
             yield pa.RecordBatch.from_arrays([pa.array([_SLICES, *(i for i, _ in kept)], pa.int32()), pa.array([np.int64(n).tobytes(), *(x.astype(np.int64).tobytes() for _, x in kept)], pa.binary())], names=["slice", "df"])
 
-    def add(key, group: pa.Table) -> pa.Table:
+    def add(key, group):
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in group["df"])
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "df": pa.array([total.tobytes()], pa.binary())})
 
