@@ -223,10 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null texts are in no class but their own row's; empty texts, and others without words, are copies of
     equal ones but near none; a text of fewer than five words is one shingle. Rows that repeat an id with
-    the same text are copies of each other. An empty table gives no rows. Buckets of any size are whole.
+    the same text are copies of each other; rows without an id are left out. An empty table gives no rows.
+    Buckets of any size are whole.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     d = d.withColumn("key", F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))))
     df, n = document_frequency(d.where("text IS NOT NULL"), "text")
     idf = spark.sparkContext.broadcast(inverse(df, n))  # 2^DF_BITS numbers

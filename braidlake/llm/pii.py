@@ -20,6 +20,7 @@ and the given names leave to check: values of a document whose surrogate is anot
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +56,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every value has at least: a cheap test of most texts.
-HINT = rf"[0-9@]|(?i:passw|pwd|token|secret|api.?key)|(?:{_ANY_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for g in TITLES.values() for t in g}))}])(?:{_ANY_TITLE})\.? \p{{Lu}}"
 
 _DIGITS = ("0123456789",)
 _CODE = (*_DIGITS, "abcdefghijklmnopqrstuvwxyz")
@@ -67,37 +68,33 @@ def _hash(*parts: Column, bits: int = 32) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, bits // 4), 16, 10).cast("long")
 
 
-def _shifted(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
-    """The character moved within its alphabet, in its own case; others as they are."""
-    low, out = F.lower(c), F.lit(None).cast("string")
-    for a in alphabets:
-        at = F.instr(F.lit(a), low)
-        moved = F.substring(F.lit(a), ((at - 1 + by) % len(a) + 1).cast("int"), F.lit(1))
-        out = F.when(at > 0, moved) if out is None else F.coalesce(out, F.when((at > 0) & (low != ""), moved))
-    return F.coalesce(F.when((c != low) & (F.upper(out) != out), F.upper(out)).otherwise(out), c)
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
-def _pass(s: Column, key: Column, alphabets: tuple[str, ...]) -> Column:
+def _shifted(c: Column, by: Column, alphabets: Column) -> Column:
+    """The lower-case character moved within its alphabet, null for others. Where a character is in no alphabet, nothing is hashed."""
+    own = F.filter(alphabets, lambda a: (F.instr(a, c) > 0) & (c != ""))
+    return let(F.try_element_at(own, F.lit(1)), lambda a: F.when(a.isNotNull(), F.substring(a, ((F.instr(a, c) - 1 + by) % F.length(a) + 1).cast("int"), F.lit(1))))
+
+
+def _pass(s: Column, key: Column, alphabets: Column) -> Column:
     """Each character moved by a hash of the key and what the ones before it have become: a bijection."""
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("pre"))
 
     def step(acc: Column, c: Column) -> Column:
-        new = _shifted(c, _hash(key, acc["pre"]), alphabets)
-        word = F.when(new.rlike(r"[\p{L}\p{N}]"), F.lower(new)).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], new).alias("out"), F.concat(acc["pre"], word).alias("pre"))
+        grown = lambda x: F.struct(F.concat(acc["out"], F.when(c == F.lower(c), F.coalesce(x, c)).otherwise(F.coalesce(F.upper(x), c))).alias("out"), F.concat(acc["pre"], F.coalesce(x, F.lit(""))).alias("pre"))
+        return let(_shifted(F.lower(c), _hash(key, acc["pre"]), alphabets), grown)
 
     return F.aggregate(F.split(s, ""), start, step, lambda a: a["out"])
 
 
-def permuted(s: Column, kind: str, key: str, alphabets: tuple[str, ...]) -> Column:
-    """s under a keyed permutation of its form: forwards, then backwards, so that all of it bears on each character."""
-    once = _pass(s, F.lit(f"{key}|{kind}|1"), alphabets)
-    return F.reverse(_pass(F.reverse(once), F.lit(f"{key}|{kind}|2"), alphabets))
-
-
-def _moved(s: Column, kind: str, key: str, alphabets: tuple[str, ...]) -> Column:
-    """permuted, once more where it changes nothing."""
-    return F.transform(F.array(s), lambda x: F.transform(F.array(permuted(x, kind, key, alphabets)), lambda y: F.when(y == x, permuted(F.concat(y, F.lit("")), f"{kind}2", key, alphabets)).otherwise(y))[0])[0]
+def _moved(s: Column, kind: Column, key: str, alphabets: Column) -> Column:
+    """s under a keyed permutation of its form: forwards, then backwards, so that all of it bears on each character. Another one where it changes nothing."""
+    turn = lambda x, n: F.reverse(_pass(x, F.concat(F.lit(f"{key}|"), kind, F.concat(F.lit("|"), n.cast("string"))), alphabets))
+    whole = lambda x, first: F.aggregate(F.array(F.lit(first), F.lit(first + 1)), x, lambda y, n: turn(y, n))
+    return let(s, lambda x: let(whole(x, 1), lambda y: F.when(y == x, whole(y, 3)).otherwise(y)))
 
 
 def _ip(s: Column, key: str) -> Column:
@@ -110,39 +107,33 @@ def _ip(s: Column, key: str) -> Column:
     return F.aggregate(rounds, halves, turn, text)
 
 
-def _card(s: Column, key: str) -> Column:
-    """The digits between the first and the last permuted, and the last by as much as the check sum moves."""
-    digits = lambda x: F.transform(F.filter(F.split(x, ""), lambda c: c.rlike("[0-9]")), lambda c: c.cast("int"))
+def _checked(made: Column, s: Column) -> Column:
+    """A card's number whose last digit has moved by as much as the check sum did."""
+    digits = lambda x: F.transform(F.filter(F.split(x, ""), lambda c: F.instr(F.lit("0123456789"), c) * F.length(c) > 0), lambda c: c.cast("int"))
 
     def check(x: Column) -> Column:
         """Sum of all but the last digit, every other one from the end doubled."""
-        body = F.reverse(F.slice(digits(x), F.lit(1), F.size(digits(x)) - 1))
+        body = let(digits(x), lambda d: F.reverse(F.slice(d, F.lit(1), F.size(d) - 1)))
         doubled = F.transform(body, lambda d, i: F.when(i % 2 == 0, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d))
         return F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
 
-    moved = F.concat(F.substring(s, 1, 1), _moved(F.substr(s, F.lit(2), F.length(s) - 2), "card", key, _DIGITS), F.substr(s, F.length(s)))
-    return F.transform(F.array(moved), lambda m: F.concat(F.substr(m, F.lit(1), F.length(m) - 1), F.pmod(F.substr(m, F.length(m)).cast("int") + check(s) - check(m), F.lit(10)).cast("string")))[0]
+    return let(made, lambda m: F.concat(F.substr(m, F.lit(1), F.length(m) - 1), F.pmod(F.substr(m, F.length(m)).cast("int") + check(s) - check(m), F.lit(10)).cast("string")))
 
 
-def _person(s: Column, key: str) -> Column:
-    """Title kept; the last word is the surname, one before it the given name."""
-    group = lambda i: F.regexp_extract(s, rf"^((?:{_ANY_TITLE})\.? )({_NAME} )?({_NAME})$", i)
-    title, given, surname = group(1), F.trim(group(2)), group(3)
+def _given(given: Column, key: str) -> Column:
+    """A given name of a list moved within it, by gender and script; any other but its last letter permuted."""
     scripts = {"latin": "A-Za-z", "cyrillic": "А-я", "greek": "Α-ω"}
-    out = None
-    for g, names in GIVEN.items():
-        for letters in scripts.values():
-            same = [n for n in names if _in(n, letters)]
-            known = F.array(*(F.lit(n) for n in same))
-            at = F.array_position(known, given)
-            turn = 1 + int.from_bytes(f"{key}{g}{letters}".encode(), "big") % 1_000_003 % (len(same) - 1)
-            moved = F.element_at(known, ((at - 1 + turn) % len(same) + 1).cast("int"))
-            out = F.when(at > 0, moved) if out is None else out.when(at > 0, moved)
+    lists = [[n for n in names if _in(n, letters)] for names in GIVEN.values() for letters in scripts.values()]
+    turn = int.from_bytes(hashlib.sha256(key.encode()).digest()[:4], "big")
+    moved = {n: names[(i + 1 + turn % (len(names) - 1)) % len(names)] for names in lists for i, n in enumerate(names)}
+    known = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
     body = F.substr(given, F.lit(1), F.length(given) - 1)
-    other = F.concat(_moved(body, "given", key, _SCRIPTS), F.substr(given, F.length(given)))
-    # A woman's name and a man's from the lists are told apart by the lists, others by their endings.
-    given = F.when(given == "", F.lit("")).otherwise(F.concat(out.otherwise(other), F.lit(" ")))
-    return F.concat(title, given, _moved(surname, "surname", key, _SCRIPTS))
+    other = F.concat(_moved(body, F.lit("given"), key, _array(_SCRIPTS)), F.substr(given, F.length(given)))
+    return F.when(given == "", F.lit("")).otherwise(F.concat(F.coalesce(F.try_element_at(known, given), other), F.lit(" ")))
+
+
+def _array(items: tuple[str, ...]) -> Column:
+    return F.array(*(F.lit(x) for x in items))
 
 
 def _in(name: str, letters: str) -> bool:
@@ -150,23 +141,40 @@ def _in(name: str, letters: str) -> bool:
 
 
 def surrogate(value: Column, key: str = KEY) -> Column:
-    """The surrogate of a value that ANY has found."""
+    """The surrogate of a value that ANY has found: what stays before and after, and what is permuted between."""
     part = lambda p, i: F.regexp_extract(value, p, i)
-    mail = r"(?s)^(.*@)((?:.*\.)?)((?i:example\.(?:com|org|net)|[A-Za-z]+))$"
+    mail = r"(?s)^(.*@(?:.*\.)?)((?i:example\.(?:com|org|net)|[A-Za-z]+))$"
     after = r"(?s)^([A-Za-z_\-]+[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(.*)$"
-    made = {
-        "email": F.concat(_moved(F.concat(part(mail, 1), part(mail, 2)), "email", key, _CODE), part(mail, 3)),
-        "key": F.concat(F.substring(value, 1, 4), _moved(F.substr(value, F.lit(5)), "key", key, _CODE)),
-        "secret": F.concat(part(after, 1), F.when(part(after, 2).rlike(r"^[0-9a-fA-F]+\W*$"), _moved(part(after, 2), "hex", key, _HEX)).otherwise(_moved(part(after, 2), "secret", key, _CODE))),
-        "hex": _moved(value, "hex", key, _HEX),
-        "account": F.concat(F.substring(value, 1, 2), _moved(F.substr(value, F.lit(3)), "account", key, _CODE)),
-        "ip": F.transform(F.array(_ip(value, key)), lambda x: F.when(x == value, _ip(x, f"{key}2")).otherwise(x))[0],
-        "phone": F.concat(part(r"^(\+[0-9]{1,3}(?=[^0-9]))?(.*)$", 1), _moved(part(r"^(\+[0-9]{1,3}(?=[^0-9]))?(.*)$", 2), "phone", key, _DIGITS)),
-        "ssn": _moved(value, "ssn", key, _DIGITS),
-        "card": _card(value, key),
-        "person": _person(value, key),
+    phone = r"^(\+[0-9]{1,3}(?=[^0-9]))?(.*)$"
+    name = rf"^((?:{_ANY_TITLE})\.? )({_NAME} )?({_NAME})$"
+    none = F.lit("")
+    hexadecimal = part(after, 2).rlike(r"^[0-9a-fA-F]+\W*$")
+
+    def cut(kind: Column | str, before: Column, body: Column, behind: Column, alphabets: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(kind.alias("kind"), before.alias("before"), body.alias("body"), behind.alias("behind"), alphabets.alias("alphabets"))
+
+    from_ = lambda n: F.substr(value, F.lit(n))
+    parts = {
+        "email": cut("email", none, part(mail, 1), part(mail, 2), _array(_CODE)),
+        "key": cut("key", F.substring(value, 1, 4), from_(5), none, _array(_CODE)),
+        "secret": cut(F.when(hexadecimal, F.lit("hex")).otherwise(F.lit("secret")), part(after, 1), part(after, 2), none, F.when(hexadecimal, _array(_HEX)).otherwise(_array(_CODE))),
+        "hex": cut("hex", none, value, none, _array(_HEX)),
+        "account": cut("account", F.substring(value, 1, 2), from_(3), none, _array(_CODE)),
+        "ip": cut("ip", none, value, none, _array(_DIGITS)),
+        "phone": cut("phone", part(phone, 1), part(phone, 2), none, _array(_DIGITS)),
+        "ssn": cut("ssn", none, value, none, _array(_DIGITS)),
+        "card": cut("card", F.substring(value, 1, 1), F.substr(value, F.lit(2), F.length(value) - 2), F.substr(value, F.length(value)), _array(_DIGITS)),
+        "person": cut("surname", F.concat(part(name, 1), _given(F.trim(part(name, 2)), key)), part(name, 3), none, _array(_SCRIPTS)),
     }
-    return reduce(lambda out, k: (F if out is None else out).when(value.rlike(f"^(?:{KINDS[k]})$"), made[k]), KINDS, None).otherwise(value)
+    chosen = reduce(lambda out, k: (F if out is None else out).when(value.rlike(f"^(?:{KINDS[k]})$"), parts[k]), KINDS, None)
+
+    def made(p: Column) -> Column:
+        whole = F.concat(p["before"], _moved(p["body"], p["kind"], key, p["alphabets"]), p["behind"])
+        ip = let(_ip(value, key), lambda x: F.when(x == value, _ip(x, f"{key}2")).otherwise(x))
+        return F.when(p.isNull(), value).when(p["kind"] == "ip", ip).when(p["kind"] == "card", _checked(whole, value)).otherwise(whole)
+
+    return let(chosen, made)
 
 
 def replace_pii(docs: DataFrame, text: str, key: str = KEY, details: bool = False) -> DataFrame:
@@ -176,13 +184,12 @@ def replace_pii(docs: DataFrame, text: str, key: str = KEY, details: bool = Fals
     whole, values that repeat get one surrogate, an empty table gives no rows. Other columns, whatever
     their names, are untouched. There is no shuffle: a document needs nothing from another.
     """
-    found, made, n = fresh([*docs.columns, "n_entities", "collisions"], "pii_found", "pii_made", "pii_n")
+    found, made = fresh([*docs.columns, "n_entities", "collisions"], "pii_found", "pii_made")
     t = F.col(text)
     out = docs.withColumn(found, F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn(made, F.transform(F.array_distinct(found), lambda e: F.struct(e.alias("value"), surrogate(e, key).alias("s"))))
-    pieces = F.split(t, ANY, -1)
-    one = lambda e: F.try_element_at(F.filter(F.col(made), lambda m: m["value"] == e), F.lit(1))["s"]
-    joined = F.array_join(F.zip_with(pieces, F.col(found), lambda p, e: F.concat(p, F.coalesce(one(e), F.lit("")))), "")
+    one = lambda m, e: F.try_element_at(F.filter(m, lambda x: x["value"] == e), F.lit(1))["s"]
+    joined = let(F.col(made), lambda m: F.array_join(F.zip_with(F.split(t, ANY, -1), F.col(found), lambda p, e: F.concat(p, F.coalesce(one(m, e), F.lit("")))), ""))
     columns = [F.when(F.size(found) > 0, joined).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if details:
         values, made_ones = F.transform(F.col(made), lambda m: m["value"]), F.transform(F.col(made), lambda m: m["s"])

@@ -24,12 +24,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id; documents without text stay."""
+    """Of each class of near copies the document with the least doc_id; documents without text or without doc_id stay."""
     prepare(spark)
     found = dedup.near_duplicates(docs.select("doc_id", "text"))
     kept = stage(found.where("id = class_id").select(F.col("id").alias("doc_id")).distinct())
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.select(*docs.columns)
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
