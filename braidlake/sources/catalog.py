@@ -185,15 +185,13 @@ def _relations(e: Entity, entities: dict[str, Entity]) -> dict[str, Relation]:
         if is_junction(child):
             for own, other in (child.declared.foreign_keys, child.declared.foreign_keys[::-1]):
                 if own.table == e.name and other.table in entities:
-                    name = f"{naming.connection_field(other.table)}By{naming.pascal(singular_junction(child.name))}{naming.pascal(own.column)}And{naming.pascal(other.column)}"
+                    name = naming.connection_field(other.table)
+                    if name in out:  # two junctions, or two keys to one table
+                        name = f"{name}By{naming.type_name(child.name)}{naming.pascal(own.column)}And{naming.pascal(other.column)}"
                     add(Relation(name, "many", other.table, own.target, other.target, (child.name, own.column, other.column)))
     return out
 
 
-def singular_junction(name: str) -> str:
-    return naming.singular(name)
-
-
 def is_junction(e: Entity) -> bool:
     """Two foreign keys, and no other column than they and an id."""
     fks = {fk.column for fk in e.declared.foreign_keys}
