@@ -158,7 +158,7 @@ class Catalog:
 
     def size_in_bytes(self) -> int:
         """Estimated size of all entities from the optimizer's statistics, without reading them."""
-        return sum(int(self.sources[n]()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for n in self.entities)
+        return sum(int(str(self.sources[n]()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for n in self.entities)
 
 
 def _relations(e: Entity, entities: dict[str, Entity]) -> dict[str, Relation]:
