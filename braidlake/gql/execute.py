@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from braidlake.errors import RequestError
@@ -196,30 +198,44 @@ class Executor:
         types = (f"{naming.plural_type_name(name)}Connection",)
         fields = self.fields(f.selection, types)
         request = self.request(scope, a, self.node_columns(e, fields))
-        out, fetched = {}, None
-        if any(x.name in ("nodes", "edges", "pageInfo") for x in fields):
-            fetched = request.fetch()
+        # Rows, count, aggregates and groups are separate jobs on one relation: they run side by side.
+        jobs = {"": request.fetch} if any(x.name in ("nodes", "edges", "pageInfo") for x in fields) else {}
+        for x in fields:
+            if x.name == "totalCount":
+                jobs[x.alias] = lambda: request.total().first()[0]
+            elif x.name == "aggregates" and self.engine.options.aggregates:
+                jobs[x.alias] = lambda x=x: self.aggregates(scope, request, x)
+            elif x.name == "groupedAggregates" and self.engine.options.aggregates:
+                jobs[x.alias] = lambda x=x: self.groups(scope, x, lambda keys, wanted: request.grouped(keys, wanted).collect())
+        done = self.side_by_side(jobs)
+        out, fetched = {}, done.pop("", None)
         for x in fields:
             if x.name == "__typename":
                 out[x.alias] = types[0]
-            elif x.name == "totalCount":
-                out[x.alias] = request.total().first()[0]
+            elif x.alias in done:
+                out[x.alias] = done[x.alias]
             elif x.name == "pageInfo":
                 out[x.alias] = self.shaped(x.selection, fetched.page_info(), ("PageInfo",))
             elif x.name == "nodes":
                 out[x.alias] = self.complete(scope, fetched.schema, fetched.rows, x.selection)
             elif x.name == "edges":
                 out[x.alias] = self.edges(scope, x, fetched.schema, fetched.rows, fetched.order)
-            elif x.name == "aggregates" and self.engine.options.aggregates:
-                wanted, shape = self.aggregate_shape(scope, x)
-                row = request.aggregates(wanted).first() if wanted else None
-                out[x.alias] = self.aggregate_row(scope, shape, row)
-            elif x.name == "groupedAggregates" and self.engine.options.aggregates:
-                out[x.alias] = self.groups(scope, x, lambda keys, wanted: request.grouped(keys, wanted).collect())
             else:
                 raise RequestError(f"{types[0]} has no field {x.name!r}")
         return out
 
+    def aggregates(self, scope: Scope, request: Connection, f: Field) -> dict:
+        wanted, shape = self.aggregate_shape(scope, f)
+        return self.aggregate_row(scope, shape, request.aggregates(wanted).first() if wanted else None)
+
+    def side_by_side(self, jobs: dict) -> dict:
+        """Results of the functions, each in a thread of its own if there are several; job tags go along."""
+        if len(jobs) < 2:
+            return {k: f() for k, f in jobs.items()}
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            running = {k: pool.submit(inheritable_thread_target(self.catalog.spark)(f)) for k, f in jobs.items()}
+            return {k: r.result() for k, r in running.items()}
+
     def node_columns(self, e: Entity, fields: list[Field]) -> list[str]:
         """Columns that the nodes and edges of a connection need."""
         out: dict[str, None] = {}
@@ -334,7 +350,7 @@ class Executor:
             cursor = codec.decode(page.after or page.before, dict) if page.after or page.before else None
             df, terms, _ = relations.children(scope, r, keys, request.where, request.order, request.nulls, a.get("distinct") and [d.upper() for d in request.distinct], page, request.select, self.engine.limit, 1, cursor)
             schema, order = df.schema, [t.column for t in terms]
-            for row in df.orderBy(relations.PARENT, "__rank").collect():
+            for row in sorted(df.collect(), key=lambda x: x["__rank"]):
                 by_parent[row[relations.PARENT]].append(row)
         totals, aggs, groups = {}, {}, {}
         for x in fields:
