@@ -42,7 +42,7 @@ def rows(frame):
     """Rows of a pandas frame with columns by name, as sorted tuples; numbers of any width compare alike."""
 
     def plain(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return None
         if hasattr(v, "item"):
             v = v.item()
