@@ -28,6 +28,8 @@ DF_BITS = 20
 FLOOR = 0.95
 #: Orders by which a bucket's members to compare with are chosen.
 ORDERS = 2
+#: Bits of the map of ids whose texts are looked up.
+FILTER_BITS = 24
 _SLICES = 64
 
 
@@ -175,6 +177,24 @@ def _candidates(members: DataFrame, salts: int) -> DataFrame:
     return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _involved(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of texts(id, text) with an id of a pair, and a few others: by a bitmap of 2^FILTER_BITS hashed ids, which is all that is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("p"))
+    words = ids.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.toLocalIterator():
+        bitmap[r["w"]] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column("p").to_numpy()
+            yield b.select(["id", "text"]).filter(pa.array((shared.value[p >> 6] >> (p & 63) & 1).astype(bool)))
+
+    return texts.select("id", "text", place("id").alias("p")).mapInArrow(run, "id long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar; texts(id, text) has an id once."""
 
@@ -195,6 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
             chosen = whole.select(["a", "b"]).filter(pa.array(keep))
             yield chosen
 
+    texts = _involved(texts, pairs)
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
