@@ -68,7 +68,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> Model:
+def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 3e-4) -> Model:
     """Trained by nnPU with the logistic loss. Without a positive or an unlabelled text, all score the prior."""
     base = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
