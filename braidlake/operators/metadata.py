@@ -28,12 +28,12 @@ def _value(text):
     return text
 
 
-def metadata(catalog: Catalog, chain: str | None = None, wanted: set[str] | None = None, external=None) -> dict | None:
+def metadata(catalog: Catalog, chain: str | None = None, wanted: set[str] | None = None, external=None, tables: dict | None = None) -> dict | None:
     """Metadata of a chain: the plain table, the one whose chain it is, or the first. None where there is no table.
 
     external() may give more fields (a service's); the table's own come first. Only wanted estimates are computed.
     """
-    tables = catalog.metadata
+    tables = catalog.metadata if tables is None else tables
     if not tables:
         return None
     read = {n: {r[0]: _value(r[1]) for r in tables[n]().collect()} for n in tables}
@@ -56,19 +56,10 @@ def metadata(catalog: Catalog, chain: str | None = None, wanted: set[str] | None
 def metadatas(catalog: Catalog) -> dict:
     """A node for each metadata table; cursors are places."""
     names = sorted(catalog.metadata)
-    nodes = [metadata(_only(catalog, n)) for n in names]
+    nodes = [metadata(catalog, tables={n: catalog.metadata[n]}) for n in names]
     return {"totalCount": len(nodes), "nodes": nodes, "edges": [{"cursor": codec.encode([i + 1]), "node": n} for i, n in enumerate(nodes)]}
 
 
-def _only(catalog: Catalog, name: str):
-    class One:
-        metadata = {name: catalog.metadata[name]}
-        row_estimates = catalog.row_estimates
-        size_in_bytes = catalog.size_in_bytes
-
-    return One
-
-
 def channel(schema: str, table: str, kind: str) -> str:
     """Name of a table's notification channel: the first 63 hexadecimal digits of a BLAKE2b hash of its parts."""
     return hashlib.blake2b(f"{schema}_{table}_{kind}".encode()).hexdigest()[:63]

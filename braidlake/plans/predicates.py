@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidlake.errors import RequestError
-from braidlake.functions.types import OPERATORS, literal
+from braidlake.functions.types import OPERATORS, literal, scalar_of
 from braidlake.sources.catalog import Catalog, Entity, Relation, as_of
 
 _alias = itertools.count()
@@ -127,8 +127,6 @@ def _list_predicate(c: Column, kind: T.ArrayType, name: str, value) -> list[Colu
     if name == "isEmpty":
         return [F.size(c) == 0 if value else F.size(c) > 0]
     element = kind.elementType
-    from braidlake.functions.types import scalar_of
-
     test = lambda e: scalar_predicate(e, element, scalar_of(element)[0], value)
     if test(F.lit(None).cast(element)) is None:
         return []
