@@ -33,15 +33,16 @@ def assign(docs: DataFrame, group: str, size: str, shards: int = SHARDS, heavy:
     group is a column without nulls. The heap on the driver sees shards * heavy + bundles items at most,
     however many groups there are; a bundle is about a 1/bundles part of the light groups. A group larger
     than a shard's share is not split, as groups stay together: its shard then takes that group alone
-    as far as the others can take the rest. Ties, repeated rows and empty tables need no special case.
+    as far as the others can take the rest. Ties, repeated rows, sizes of 0 and empty tables need no special case.
     """
     spark = docs.sparkSession
     bundle, item, shard = fresh(docs.columns, "lpt_bundle", "lpt_item", "shard")
     groups = stage(docs.groupBy(group).agg(F.sum(size).alias("size")).withColumn(bundle, F.concat(F.lit("b"), cell_of(F.col(group), bundles).cast("string"))))
     total = groups.agg(F.sum("size")).first()[0] or 0
-    large = groups.where(F.col("size") * (shards * heavy) >= total)
+    alone = (F.col("size") > 0) & (F.col("size") * (shards * heavy) >= total)
+    large = groups.where(alone)
     single = [(r["size"], "g" + r[group]) for r in large.select(group, "size").collect()]
-    light = groups.where(F.col("size") * (shards * heavy) < total)
+    light = groups.where(~alone)
     packed = [(r["size"], r[bundle]) for r in light.groupBy(bundle).agg(F.sum("size").alias("size")).collect()]
     plan = schedule(single + packed, shards)
     # Both sides are bounded by the two parameters.

@@ -310,6 +310,7 @@ def test_sharding(spark, odd, none):
     assert sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
     keyed = odd.withColumn("grouped", F.coalesce(F.md5("text"), F.lit("null"))).withColumn("n", F.lit(2).cast("long"))
     assert sharding.assign(keyed, "grouped", "n").count() == 10
+    assert sharding.assign(keyed.withColumn("n", F.lit(0).cast("long")), "grouped", "n").where("shard IS NULL").count() == 0
     assert sharding.assign(none.withColumn("grouped", F.md5("text")), "grouped", "n_chars").count() == 0
 
 
