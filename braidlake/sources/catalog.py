@@ -133,8 +133,19 @@ class Catalog:
     @classmethod
     def from_database(cls, spark: SparkSession, database: str, declared: dict[str, Declared]) -> Catalog:
         """Tables and views of a catalog database."""
-        names = [t.name for t in spark.catalog.listTables(database)]
-        return cls(spark, {n: (lambda n=n: spark.table(f"`{database}`.`{n}`")) for n in names}, declared)
+        at = {t.name: f"`{t.name}`" if t.isTemporary else f"`{database}`.`{t.name}`" for t in spark.catalog.listTables(database)}
+        return cls(spark, {n: (lambda n=n: spark.table(at[n])) for n in at}, declared)
+
+    @classmethod
+    def from_project(cls, spark: SparkSession, project: str, declared: dict[str, Declared], roots: tuple[str, ...] = ()) -> Catalog:
+        """The database of that name, else the first root that has a folder of that name with tables in it."""
+        if spark.catalog.databaseExists(f"`{project}`"):
+            return cls.from_database(spark, project, declared)
+        for root in roots:
+            at = f"{root.rstrip('/')}/{project}"
+            if names := list_tables(spark, at):
+                return cls.from_path(spark, at, names, declared)
+        raise RequestError(f"no database or folder {project!r}")
 
     def refresh(self) -> Catalog:
         return Catalog(self.spark, self.sources, self.declared, self.metadata)
@@ -161,6 +172,16 @@ class Catalog:
         return sum(int(str(self.sources[n]()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for n in self.entities)
 
 
+def list_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the Parquet tables in a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
 def _relations(e: Entity, entities: dict[str, Entity]) -> dict[str, Relation]:
     out: dict[str, Relation] = {}
 

@@ -234,6 +234,18 @@ def test_stream_windows(spark, sf, tmp_path):
     assert spark.table("hours").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
+def test_projects(spark, sf):
+    root, name = sf.rsplit("/", 1)
+    found = Catalog.from_project(spark, name, samples.DECLARED, (root + "/nowhere", root))
+    assert set(found.entities) == set(samples.TABLES) and found.infer_enum("orders", "o_orderstatus") == ("F", "O", "P")
+    with pytest.raises(RequestError):
+        Catalog.from_project(spark, "nowhere", {}, (root,))
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    spark.read.parquet(f"{sf}/nation.parquet").createOrReplaceTempView("nation")
+    assert "nation" in Catalog.from_project(spark, "shop", samples.DECLARED).entities
+    spark.catalog.dropTempView("nation")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
