@@ -19,7 +19,7 @@ _INT, _BOOL = {"lastProcessedHeight", "targetHeight", "startHeight", "lastFinali
 
 
 def search_field(table: str) -> str:
-    return f"search{naming.plural_type_name(table)}"
+    return f"search_{table}"
 
 
 def enum_name(e: Entity, column: str) -> str:
@@ -86,7 +86,7 @@ def types(catalog: Catalog, options) -> list[dict]:
         add("OBJECT", f"{many}Edge", obj({"cursor": "Cursor", "node": one}))
         body = {"nodes": (f"[{one}]!", {}), "edges": (f"[{many}Edge!]!", {}), "pageInfo": ("PageInfo!", {}), "totalCount": ("Int!", {})}
         if options.aggregates:
-            body |= {"aggregates": (f"{one}Aggregates", {}), "groupedAggregates": (f"[{one}AggregateGroup!]", {"groupBy": f"[{many}GroupBy!]!"})}
+            body |= {"aggregates": (f"{one}Aggregates", {}), "groupedAggregates": (f"[{one}AggregateGroup!]", {"groupBy": f"[{one}GroupBy!]!"})}
             parts = {"keys": "[String!]"}
             for fn in FUNCTIONS:
                 columns = e.columns if fn == "distinctCount" else e.numeric
@@ -98,7 +98,7 @@ def types(catalog: Catalog, options) -> list[dict]:
             add("OBJECT", f"{one}Aggregates", obj({"count": "BigInt"} | parts))
             add("OBJECT", f"{one}AggregateGroup", obj({"count": "BigInt"} | parts))
             times = [c for c in e.columns if isinstance(e.kind(c), (T.TimestampType, T.TimestampNTZType))]
-            add("ENUM", f"{many}GroupBy", values=[naming.enum_item(c) for c in e.columns] + [f"{c.upper()}_TRUNCATED_TO_{u}" for c in times for u in ("HOUR", "DAY")])
+            add("ENUM", f"{one}GroupBy", values=[naming.enum_item(c) for c in e.columns] + [f"{c.upper()}_TRUNCATED_TO_{u}" for c in times for u in ("HOUR", "DAY")])
         add("OBJECT", f"{many}Connection", body)
         add("ENUM", f"{many}OrderBy", values=["NATURAL", "PRIMARY_KEY_ASC", "PRIMARY_KEY_DESC", *(f"{i}_{d}" for i in items(Scope.of(catalog, name)) for d in ("ASC", "DESC"))])
         add("ENUM", f"{name}_distinct_enum", values=[naming.enum_item(c) for c in e.columns])
@@ -110,8 +110,8 @@ def types(catalog: Catalog, options) -> list[dict]:
         if e.declared.key:
             query[naming.single_field(name)] = (one, {naming.camel(k): f"{e.scalar(k)}!" for k in e.declared.key} | versions)
             query[f"{naming.single_field(name)}ByNodeId"] = (one, {"nodeId": "ID!"} | versions)
-            add("OBJECT", f"{many}Subscription", obj({"id": "ID!", "mutation_type": "MutationType!", "_entity": one}))
-            stream[naming.connection_field(name)] = (f"{many}Subscription", {"id": "[ID!]", "mutation": "[MutationType!]"})
+            add("OBJECT", f"{one}SubscriptionPayload", obj({"id": "ID!", "mutation_type": "MutationType!", "_entity": one}))
+            stream[naming.connection_field(name)] = (f"{one}SubscriptionPayload", {"id": "[ID!]", "mutation": "[MutationType!]"})
         if e.declared.search:
             query[search_field(name)] = (f"{many}Connection!", {"search": "String!", "first": "Int", "offset": "Int"})
     add("OBJECT", "Query", query)

@@ -209,7 +209,7 @@ def test_page_arguments():
 
 
 def test_empty_search(engine):
-    assert data(engine, '{ searchDocuments(search: " !? ") { totalCount nodes { docId } pageInfo { hasNextPage } } }')["searchDocuments"] == {"totalCount": 0, "nodes": [], "pageInfo": {"hasNextPage": False}}
+    assert data(engine, '{ search_documents(search: " !? ") { totalCount nodes { docId } pageInfo { hasNextPage } } }')["search_documents"] == {"totalCount": 0, "nodes": [], "pageInfo": {"hasNextPage": False}}
 
 
 def test_change_stream(spark, engine, tmp_path):
