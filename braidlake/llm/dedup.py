@@ -26,8 +26,8 @@ DF_BITS = 20
 #: The least weight of a shingle against the greatest. Near copies have their own words in common with each
 #: other, so plain inverse document frequency would take a large group of them for boilerplate.
 FLOOR = 0.95
-#: Orders by which a bucket's members to compare with are chosen.
-ORDERS = 2
+#: Members of a bucket that all others are compared with in one turn.
+LEADERS = 8
 #: Bits of the map of ids whose texts are looked up.
 FILTER_BITS = 24
 _SLICES = 64
@@ -117,7 +117,7 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for _, part in blocks(batch.column(text)):
+            for _, part in blocks(batch.column(text), 1 << 18):
                 h, _, first = shingles(part)
                 df += np.bincount(bucket(h), minlength=size)
                 n += len(first) - 1
@@ -160,21 +160,19 @@ def _bands(docs: DataFrame, text: str, idf, columns: list[str]) -> DataFrame:
     return docs.select(*columns, text).mapInArrow(run, schema)
 
 
-def _candidates(members: DataFrame, salts: int) -> DataFrame:
-    """(a, b) pairs: each member of a bucket with the first of its salt by an order, and these with the first of the bucket.
+def _candidates(members: DataFrame, salts: int, turn: int) -> DataFrame:
+    """(a, b) pairs: each member of a bucket with the first LEADERS of it, by an order of all texts that each turn changes.
 
+    Of a bucket of LEADERS + 1 members at most these are all pairs; of a larger one, LEADERS for each member.
     A salt has about the root of a bucket's members, and a bucket as many salts, so no task has a bucket.
     """
-    out = None
-    for order in range(ORDERS):
-        rank = F.xxhash64(F.lit(order), F.col("rep"))
-        m = members.select("band", "rep", F.pmod(F.xxhash64("rep", F.lit(99)), F.lit(salts)).alias("salt"), F.struct(rank.alias("o"), F.col("rep").alias("id")).alias("me"))
-        m = m.withColumn("head", F.min("me").over(Window.partitionBy("band", "salt")))
-        heads = m.groupBy("band", "salt").agg(F.first("head").alias("me"))
-        heads = heads.withColumn("head", F.min("me").over(Window.partitionBy("band")))
-        pairs = m.select(F.col("rep").alias("x"), F.col("head.id").alias("y")).unionByName(heads.select(F.col("me.id").alias("x"), F.col("head.id").alias("y")))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    order = [F.xxhash64(F.lit(turn), F.col("rep")), F.col("rep")]
+    m = members.select("band", "rep", F.pmod(F.xxhash64("rep", F.lit(99)), F.lit(salts)).alias("salt"))
+    top = m.withColumn("n", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("n") <= LEADERS)
+    top = top.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("n") <= LEADERS)
+    leaders = m.select("band", "salt").distinct().join(top.select("band", F.col("rep").alias("head")), "band")
+    pairs = m.join(leaders, ["band", "salt"]).where("rep <> head")
+    return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
 
 
 def _involved(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -202,7 +200,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
         last: tuple[int | None, tuple | None] = (None, None)
         for whole in batches:
             keep = np.zeros(whole.num_rows, bool)
-            for start, part in blocks(whole.column("text_a")):
+            for start, part in blocks(whole.column("text_a"), 1 << 18):
                 one, two = [], whole.column("text_b").slice(start, len(part))
                 h, count, first = shingles(part)
                 w = weights(h, count, idf.value)
@@ -255,23 +253,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = _bands(d, "text", idf, ["id", "key"])
     reps = stage(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     members = stage(reps.select("rep", F.explode("bands").alias("band")))
-    members = members.join(members.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi")
+    sizes = stage(members.groupBy("band").count().where("count > 1"))
+    members = members.join(sizes.select("band"), "band", "left_semi")
+    large = sizes.where(F.col("count") > LEADERS + 1).select("band")
     texts = d.select("id", "text").where("text IS NOT NULL")
-    salts, links, tested = cells(n), None, None
+    salts, links, tested, turn = cells(n), None, None, 0
     while True:
-        pairs = _candidates(members, salts)
+        pairs = _candidates(members, salts, turn)
         pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         new = stage(_verified(pairs, texts, idf, similarity))
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if new.isEmpty():
+        if new.isEmpty() or large.isEmpty():
             break
-        labels = components(links)
-        # What is not yet linked to all of its bucket goes on, a member for each class and bucket.
-        found = members.join(labels, members["rep"] == labels["id"], "left").select("band", F.coalesce("label", "rep").alias("label"), "rep")
-        open_ = found.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        rest = found.join(open_, "band", "left_semi").groupBy("band", "label").agg(F.max_by("rep", F.xxhash64("rep", F.lit(3))).alias("rep"))
+        # In a bucket of which not all pairs have been compared, each class sends another member on.
+        labels, turn = components(links), turn + 1
+        wide = stage(reps.select("rep", F.explode("bands").alias("band")).join(large, "band", "left_semi"))
+        found = wide.join(labels, wide["rep"] == labels["id"], "left").select("band", F.coalesce("label", "rep").alias("label"), "rep")
+        rest = found.groupBy("band", "label").agg(F.max_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
         members = stage(rest.select("band", "rep"))
+        several = members.groupBy("band").count().where("count > 1").select("band")
+        members = members.join(several, "band", "left_semi")
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     labels = components(links)
