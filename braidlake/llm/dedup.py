@@ -2,8 +2,8 @@
 
 Texts are multisets of shingles of five words, hashed; a shingle weighs its count times its inverse
 document frequency. Samples are consistent: two texts share one with a probability of their weighted
-Jaccard similarity. Bands of samples give buckets; texts of a bucket are compared with a few of its
-members, and verified by exact weighted Jaccard similarity of the whole texts.
+Jaccard similarity. Bands of samples give buckets; every two texts of a bucket end in one class or have
+been compared by exact weighted Jaccard similarity of the whole texts.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ DF_BITS = 20
 #: The least weight of a shingle against the greatest. Near copies have their own words in common with each
 #: other, so plain inverse document frequency would take a large group of them for boilerplate.
 FLOOR = 0.95
-#: Members of a bucket that all others are compared with in one turn.
+#: Members of a bucket that all others are compared with: all pairs of a bucket of one more at most.
 LEADERS = 8
+#: Texts, and bytes of text, in a block of a large bucket; two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 1024, 1 << 23
+#: Shingles in a dense matrix at once, and texts with a shingle up to which it is not worth one.
+DENSE, RARE = 4096, 16
 #: Bits of the map of ids whose texts are looked up.
 FILTER_BITS = 24
 _SLICES = 64
@@ -160,21 +164,126 @@ def _bands(docs: DataFrame, text: str, idf, columns: list[str]) -> DataFrame:
     return docs.select(*columns, text).mapInArrow(run, schema)
 
 
-def _candidates(members: DataFrame, salts: int, turn: int) -> DataFrame:
-    """(a, b) pairs: each member of a bucket with the first LEADERS of it, by an order of all texts that each turn changes.
+def _salted(members: DataFrame, salts: int) -> DataFrame:
+    """members with a salt: one has about the root of a bucket's members, and a bucket as many salts, so no task has a bucket."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(99)), F.lit(salts)))
 
-    Of a bucket of LEADERS + 1 members at most these are all pairs; of a larger one, LEADERS for each member.
-    A salt has about the root of a bucket's members, and a bucket as many salts, so no task has a bucket.
-    """
-    order = [F.xxhash64(F.lit(turn), F.col("rep")), F.col("rep")]
-    m = members.select("band", "rep", F.pmod(F.xxhash64("rep", F.lit(99)), F.lit(salts)).alias("salt"))
-    top = m.withColumn("n", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("n") <= LEADERS)
-    top = top.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("n") <= LEADERS)
+
+def _candidates(members: DataFrame, salts: int) -> DataFrame:
+    """(a, b) pairs of members(band, rep, count): all of a bucket of LEADERS + 1 at most; of a larger one each member with the first, by an order of all texts."""
+    order = [F.xxhash64(F.lit(0), F.col("rep")), F.col("rep")]
+    m = _salted(members.select("band", "rep", "count"), salts)
+    wanted = F.when(F.col("count") > LEADERS + 1, 1).otherwise(LEADERS)
+    top = m.withColumn("n", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("n") <= wanted)
+    top = top.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("n") <= wanted)
     leaders = m.select("band", "salt").distinct().join(top.select("band", F.col("rep").alias("head")), "band")
     pairs = m.join(leaders, ["band", "salt"]).where("rep <> head")
     return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
 
 
+def _meetings(members: DataFrame, salts: int) -> DataFrame:
+    """(band, i, j, place, rep, label): the texts of block i and of block j of a bucket, for all i <= j whose texts are to be compared.
+
+    Members are (band, rep, label, bytes). Any two members of different labels meet. The members of the
+    most frequent label have blocks of their own, which meet those of the others only.
+    """
+    m = _salted(members, salts)
+    by_label = m.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    most = F.struct("n", "label")
+    plan = by_label.groupBy("band").agg(
+        F.max_by("label", most).alias("main"), F.max_by("n", most).alias("main_n"), F.max_by("size", most).alias("main_size"),
+        F.sum("n").alias("n"), F.sum("size").alias("size"),
+    ).where("n > main_n")
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    rest = blocks_of(F.col("n") - F.col("main_n"), F.col("size") - F.col("main_size"))
+    plan = plan.select("band", "main", rest.alias("p"), blocks_of(F.col("main_n"), F.col("main_size")).alias("q"))
+    met = m.join(m.select("band", "salt").distinct().join(plan, "band"), ["band", "salt"])
+    is_main, h = F.col("label") == F.col("main"), F.xxhash64("rep", F.lit(7))
+    place = F.when(is_main, F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int")
+    last = F.when(is_main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
+    met = met.select("band", "rep", "label", place.alias("place"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("band", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "rep", "label")
+
+
+def shared_weight(h: np.ndarray, count: np.ndarray, first: np.ndarray, idf: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """(rows, cols) 32-bit sums of the lesser weights of the shingles that two texts share."""
+    n = len(first) - 1
+    owner = np.repeat(np.repeat(np.arange(n), np.diff(first)), count)
+    # A shingle's repetitions count as others, so that each key has one weight and is in a text once.
+    level = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    value = np.repeat(h, count)
+    key = np.where(level > 0, mix64(value ^ (level * np.uint64(0x9E3779B97F4A7C15))), value)
+    order = np.argsort(key, kind="stable")
+    key, owner, w = key[order], owner[order], idf[bucket(value[order])].astype(np.float32)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    df = np.diff(np.append(starts, len(key)))
+    at_row, at_col = np.full(n, -1), np.full(n, -1)
+    at_row[rows], at_col[cols] = np.arange(len(rows)), np.arange(len(cols))
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    every = np.repeat(df, df)
+    some = np.flatnonzero((every > 1) & (every <= RARE))
+    for step in range(1, RARE):
+        one = some[:-step]
+        two = one + step
+        same = (two < len(key)) & (key[np.minimum(two, len(key) - 1)] == key[one])
+        one, two = one[same], two[same]
+        if not len(one):
+            break
+        for x, y in ((owner[one], owner[two]), (owner[two], owner[one])):
+            ok = (at_row[x] >= 0) & (at_col[y] >= 0)
+            np.add.at(out, (at_row[x[ok]], at_col[y[ok]]), w[one[ok]])
+    dense = np.flatnonzero(every > RARE)
+    column = np.repeat(np.cumsum(df > RARE) - 1, df)[dense]
+    owner, root = owner[dense], np.sqrt(w[dense])
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, DENSE):
+        lo, hi = np.searchsorted(column, [start, start + DENSE])
+        x = np.zeros((n, min(DENSE, int(column[-1]) + 1 - start)), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = root[lo:hi]
+        out += x[rows] @ x[cols].T
+    return out
+
+
+def linked(texts, label: np.ndarray, place: np.ndarray, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Near pairs of texts of different labels (and places, where there are two): enough to link all labels that such pairs link."""
+    _, root = np.unique(label, return_inverse=True)
+    rows, cols = np.flatnonzero(place == place.min()), np.flatnonzero(place == place.max())
+    if len(np.unique(root)) < 2:
+        return []
+    h, count, first = shingles(texts)
+    w = weights(h, count, idf)
+    total = np.bincount(np.repeat(np.arange(len(first) - 1), np.diff(first)), w, len(first) - 1)
+    share = shared_weight(h, count, first, idf, rows, cols)
+    # 32-bit sums only choose what is verified.
+    maybe = share >= (similarity - 1e-3) * (total[rows][:, None] + total[cols][None, :] - share)
+    out = []
+    for r, row in enumerate(rows.tolist()):
+        near = cols[np.flatnonzero(maybe[r])]
+        near = near[root[near] != root[row]]
+        while len(near):
+            c, near = int(near[0]), near[1:]
+            a, b = ((h[first[x] : first[x + 1]], w[first[x] : first[x + 1]]) for x in (row, c))
+            if jaccard(a, b) >= similarity - 1e-9:
+                out.append((row, c))
+                root[root == root[c]] = root[row]
+                near = near[root[near] != root[row]]
+    return out
+
+
+def _closed(meetings: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """(a, b) near pairs of texts that meet and have different labels; texts(id, text) has an id once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        rep = group["rep"].to_numpy()
+        found = np.array(linked(group["text"], group["label"].to_numpy(), group["place"].to_numpy(), idf.value, similarity), np.int64).reshape(-1, 2)
+        ends = np.sort(rep[found], axis=1)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    texts = _involved(texts, meetings.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
+    met = meetings.join(texts.withColumnRenamed("id", "rep"), "rep")
+    return met.select("band", "i", "j", "place", "rep", "label", "text").groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def _involved(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of texts(id, text) with an id of a pair, and a few others: by a bitmap of 2^FILTER_BITS hashed ids, which is all that is broadcast."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
@@ -243,40 +352,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null texts are in no class but their own row's; empty texts, and others without words, are copies of
     equal ones but near none; a text of fewer than five words is one shingle. Rows that repeat an id with
     the same text are copies of each other; rows without an id are left out. An empty table gives no rows.
-    Buckets of any size are whole.
+    Any two texts with a bucket in common are in one class or have been compared, whatever the bucket's size.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     d = d.withColumn("key", F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))))
     df, n = document_frequency(d.where("text IS NOT NULL"), "text")
     idf = spark.sparkContext.broadcast(inverse(df, n))  # 2^DF_BITS numbers
-    signed = _bands(d, "text", idf, ["id", "key"])
-    reps = stage(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    members = stage(reps.select("rep", F.explode("bands").alias("band")))
+    signed = _bands(d.withColumn("bytes", F.octet_length("text").cast("long")), "text", idf, ["id", "key", "bytes"])
+    reps = stage(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")))
+    members = stage(reps.select("rep", "bytes", F.explode("bands").alias("band")))
     sizes = stage(members.groupBy("band").count().where("count > 1"))
-    members = members.join(sizes.select("band"), "band", "left_semi")
-    large = sizes.where(F.col("count") > LEADERS + 1).select("band")
+    members = stage(members.join(sizes, "band"))
     texts = d.select("id", "text").where("text IS NOT NULL")
-    salts, links, tested, turn = cells(n), None, None, 0
-    while True:
-        pairs = _candidates(members, salts, turn)
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        new = stage(_verified(pairs, texts, idf, similarity))
-        links = new if links is None else links.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if new.isEmpty() or large.isEmpty():
-            break
-        # In a bucket of which not all pairs have been compared, each class sends another member on.
-        labels, turn = components(links), turn + 1
-        wide = stage(reps.select("rep", F.explode("bands").alias("band")).join(large, "band", "left_semi"))
-        found = wide.join(labels, wide["rep"] == labels["id"], "left").select("band", F.coalesce("label", "rep").alias("label"), "rep")
-        rest = found.groupBy("band", "label").agg(F.max_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
-        members = stage(rest.select("band", "rep"))
-        several = members.groupBy("band").count().where("count > 1").select("band")
-        members = members.join(several, "band", "left_semi")
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
+    salts = cells(n)
+    links = stage(_verified(stage(_candidates(members, salts)), texts, idf, similarity))
     labels = components(links)
+    # All that is left: members of a large bucket that no link has brought into one class.
+    wide = members.where(F.col("count") > LEADERS + 1).select("band", "rep", "bytes")
+    wide = wide.join(labels, wide["rep"] == labels["id"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"), "bytes")
+    more = stage(_closed(stage(_meetings(stage(wide), salts)), texts, idf, similarity))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
     known = reps.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
     known = stage(known.select("key", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("links")))

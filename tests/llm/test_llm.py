@@ -275,6 +275,48 @@ def test_near_duplicates(spark, odd, none):
     assert dedup.near_duplicates(none).count() == 0
 
 
+def brute_force_classes(texts):
+    """The least index of each text's class, by weighted Jaccard similarity of all pairs."""
+    grams = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.lower().split()) else Counter() for t in texts]
+    df = Counter(g for x in grams for g in x)
+    idf = dict(zip(df, dedup.inverse(np.array(list(df.values())), len(texts)), strict=True))
+    weighed = [{g: c * idf[g] for g, c in x.items()} for x in grams]
+    total, label = [sum(x.values()) for x in weighed], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if label[i] != label[j] and min(total[i], total[j]) >= 0.8 * max(total[i], total[j]):
+            least = sum(min(w, weighed[j][g]) for g, w in weighed[i].items() if g in weighed[j])
+            if least >= 0.8 * (total[i] + total[j] - least):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_near_duplicates_with_shared_boilerplate(spark):
+    r = random.Random(8)
+    common, texts = " ".join(f"c{i}" for i in range(89)), []
+    for k in range(300):
+        own = [f"o{k}x{i}" for i in range(15)]
+        texts += [f"{common} {' '.join(own)}", f"{common} {' '.join(own[:10])} {' '.join(f'e{k}x{i}' for i in range(5))}"]
+    r.shuffle(texts)
+    want = brute_force_classes(texts)
+    assert max(Counter(want).values()) == 2 and len(set(want)) == 300
+    got = {x["id"]: x["class_id"] for x in dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_shared_weight_of_blocks():
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["a b c d e f", "p q r s t", "a a a a a a a", f"x{i % 9}", f"y{i}"]) for _ in range(r.randint(1, 25))) for i in range(60)]
+    h, count, first = dedup.shingles(pa.array(texts))
+    idf = np.random.default_rng(1).uniform(0.95, 1, 1 << dedup.DF_BITS)
+    w = dedup.weights(h, count, idf)
+    each = [(h[a:b], w[a:b]) for a, b in itertools.pairwise(first)]
+    for rows_, cols in ((np.arange(60), np.arange(60)), (np.arange(0, 60, 2), np.arange(1, 60, 2))):
+        share = dedup.shared_weight(h, count, first, idf, rows_, cols)
+        got = [share[x, y] / (each[i][1].sum() + each[j][1].sum() - share[x, y]) for x, i in enumerate(rows_) for y, j in enumerate(cols) if i != j]
+        assert got == pytest.approx([dedup.jaccard(each[i], each[j]) for i in rows_ for j in cols if i != j], abs=1e-5)
+
+
 def test_consistent_samples():
     g = np.random.default_rng(2)
     h = words.mix64(np.arange(400, dtype=np.uint64))
