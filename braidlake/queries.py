@@ -241,16 +241,30 @@ def rel_backward_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("rel_m2m", "SELECT o_orderkey, p_partkey, rank FROM (SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_orderkey <= 1000) WHERE rank <= 2")
 def rel_m2m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived(spark, sf_dir)
-    c = e.connection("orders", {"oOrderkey": {"lessThanOrEqualTo": 1000}})
+    return _first_parts(derived(spark, sf_dir).connection("orders", {"oOrderkey": {"lessThanOrEqualTo": 1000}}))
+
+
+@add("rel_m2m_all", "SELECT o_orderkey, p_partkey, rank FROM (SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))) WHERE rank <= 2")
+def rel_m2m_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_parts(derived(spark, sf_dir).connection("orders"))
+
+
+def _first_parts(c) -> DataFrame:
     df, _, _ = relations.children(c.scope, c.scope.entity.relations["parts"], c.filtered().select("o_orderkey"), page=Page(first=2), select=["p_partkey"])
     return df.select(F.col(relations.PARENT).alias("o_orderkey"), "p_partkey", F.col("__rank").cast("long").alias("rank"))
 
 
 @add("rel_nested", "SELECT c_custkey, o_orderkey, l_linenumber, l_quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey <= 20 AND l_quantity > 45")
 def rel_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    c = e.connection("customer", {"cCustkey": {"lessThanOrEqualTo": 20}})
+    return _large_lines(engine(spark, sf_dir).connection("customer", {"cCustkey": {"lessThanOrEqualTo": 20}}))
+
+
+@add("rel_nested_all", "SELECT c_custkey, o_orderkey, l_linenumber, l_quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45")
+def rel_nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _large_lines(engine(spark, sf_dir).connection("customer"))
+
+
+def _large_lines(c) -> DataFrame:
     orders, _, second = relations.children(c.scope, c.scope.entity.relations["ordersByOCustkey"], c.filtered().select("c_custkey"), select=["o_orderkey"], limit=None)
     lines, _, _ = relations.children(second, second.entity.relations["lines"], orders.select("o_orderkey"), {"lQuantity": {"greaterThan": 45}}, select=["l_linenumber", "l_quantity"], limit=None)
     lines = lines.select(F.col(relations.PARENT).alias("order"), "l_linenumber", "l_quantity")
@@ -331,7 +345,16 @@ def change_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("change_enriched", f"SELECT c.c_custkey::VARCHAR AS id, c.c_name FROM customer c WHERE c.c_custkey IN (SELECT user_id FROM events WHERE event_id <= 500 AND {_KIND} <> 'DELETE')")
 def change_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id <= 500").select(F.col("user_id").cast("string").alias("id"), F.expr(_KIND).alias("mutation_type"))
+    return _enriched(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id <= 500"))
+
+
+@add("change_enriched_all", f"SELECT c.c_custkey::VARCHAR AS id, c.c_name FROM customer c WHERE c.c_custkey IN (SELECT user_id FROM events WHERE {_KIND} <> 'DELETE')")
+def change_enriched_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _enriched(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    feed = events.select(F.col("user_id").cast("string").alias("id"), F.expr(_KIND).alias("mutation_type"))
     got = engine(spark, sf_dir, "customer").changes(feed, "customer")
     return got.where("_entity IS NOT NULL").select("id", F.get_json_object("_entity", "$.c_name").alias("c_name")).distinct()
 
