@@ -20,6 +20,21 @@ from braidlake.llm.toxicity import _letters
 from braidlake.llm.words import LOWER, blocks, mix64, text_bytes, word_hashes
 
 THRESHOLD = 0.8
+#: Of windows that overlap, one that is LONGER times as long as the best goes before it if it scores less by NEAR at most.
+NEAR, LONGER = 0.1, 1.2
+
+_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details."
+_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD3 = _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _gnu(kind: str, version: str, later: bool) -> str:
+    """The notice of a GNU licence, as its publisher words it for files."""
+    license, mark = f"GNU {kind}General Public License", ";" if version.startswith("2") else ","
+    terms = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return f"This program is free software{':' if mark == ',' else ';'} you can redistribute it and/or modify it under the terms of the {license} as published by the Free Software Foundation{mark} {terms} " + _WARRANTY.format(license)
+
 
 # Notices and short texts of public licences, as their publishers word them.
 TEMPLATES = [
@@ -44,6 +59,24 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD-2-Clause", f"{_BSD} {_DISCLAIMER}"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", _BSD3),
+    ("BSD-3-Clause", f"{_BSD3} {_DISCLAIMER}"),
+    ("GPL-2.0", _gnu("", "2", False)),
+    ("GPL-2.0-or-later", _gnu("", "2", True)),
+    ("GPL-3.0", _gnu("", "3", False)),
+    ("LGPL-2.1", _gnu("Lesser ", "2.1", False)),
+    ("LGPL-2.1-or-later", _gnu("Lesser ", "2.1", True)),
+    ("LGPL-3.0", _gnu("Lesser ", "3", False)),
+    ("LGPL-3.0-or-later", _gnu("Lesser ", "3", True)),
+    ("AGPL-3.0", _gnu("Affero ", "3", False)),
+    ("AGPL-3.0-or-later", _gnu("Affero ", "3", True)),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 ]
 
 
@@ -77,16 +110,42 @@ class Scanner:
 
     def scan(self, grams: np.ndarray) -> list[tuple[str, float, int]]:
         """(licence, best coefficient, word it starts at) of a text's bigrams, best first, those at the threshold at least."""
+        best: dict[str, tuple[float, int]] = {}
+        for name, d, p, _ in self.windows(grams):
+            best.setdefault(name, (d, p))
+        return [(n, d, p) for n, (d, p) in best.items()]
+
+    def apart(self, grams: np.ndarray) -> list[tuple[str, float, int]]:
+        """As scan, but of windows that overlap only the best counts: what is left and right of it is scanned anew."""
+        found, left = [], [(0, len(grams))]
+        while left:
+            start, end = left.pop()
+            got = self.windows(grams[start:end])
+            if not got:
+                continue
+            _, d, p, size = got[0]
+            longer = [x for x in got if x[1] >= d - NEAR and x[3] >= LONGER * size and x[2] < p + size and p < x[2] + x[3]]
+            name, d, p, size = (longer or got)[0]
+            found.append((name, d, start + p))
+            left += [(start, start + p), (start + p + size, end)]
+        best: dict[str, tuple[float, int]] = {}
+        for name, d, p in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
+            best.setdefault(name, (d, p))
+        return [(n, d, p) for n, (d, p) in best.items()]
+
+    def windows(self, grams: np.ndarray) -> list[tuple[str, float, int, int]]:
+        """(licence, coefficient, word it starts at, bigrams) of the best window of each template, best first."""
         hit = np.flatnonzero(self.maybe[grams >> np.uint64(48)])
         hit = hit[np.isin(grams[hit], self.keys)]
         if not len(hit):
             return []
-        best: dict[str, tuple[float, int]] = {}
+        out = []
         values = grams[hit].tolist()
         for name, own, least, most in zip(self.names, self.grams, self.least, self.most, strict=True):
             at = [p for p, v in zip(hit.tolist(), values, strict=True) if v in own]
             if len(at) < least:
                 continue
+            best: tuple[float, int, int] = (0.0, 0, 0)
             # Windows from one shared bigram to another, within the bounds; more shared ones than the template has don't count.
             for i in range(len(at) - least + 1):
                 seen: Counter = Counter()
@@ -101,14 +160,18 @@ class Scanner:
                         shared += 1
                     if size >= least and shared >= least:
                         d = 2 * shared / (size + own.total())
-                        if d >= self.threshold - 1e-12 and d > best.get(name, (0.0, 0))[0]:
-                            best[name] = (d, at[i])
-        return sorted(((n, d, p) for n, (d, p) in best.items()), key=lambda x: (-x[1], x[2], x[0]))
+                        if d >= self.threshold - 1e-12 and d > best[0]:
+                            best = (d, at[i], size)
+            if best[0]:
+                out.append((name, *best))
+        return sorted(out, key=lambda x: (-x[1], x[2], -x[3], x[0]))
 
 
 def scan_licenses(docs: DataFrame, text: str, columns: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The columns with license (the best match, null for none), dice, start_word and licenses (all, in order of code points, by commas).
 
+    Matches do not overlap: of templates that match the same words the best counts, a longer one before it on near ties.
+
     Null and empty texts, and such of one word, match nothing; whole texts are scanned, however long;
     of equal coefficients the earlier in the text comes first, then the lesser name; equal texts get equal
     values, repeated rows a row each; an empty table gives no rows.
@@ -122,7 +185,7 @@ def scan_licenses(docs: DataFrame, text: str, columns: list[str], templates=TEMP
                 b = whole.slice(start, len(part))
                 grams, first = bigrams(*text_bytes(part))
                 hot = np.cumsum(np.concatenate([[0], scanner.maybe[grams >> np.uint64(48)]]))[first]
-                found = [scanner.scan(grams[x:y]) if h else [] for x, y, h in zip(first, first[1:], np.diff(hot), strict=False)]
+                found = [scanner.apart(grams[x:y]) if h else [] for x, y, h in zip(first, first[1:], np.diff(hot), strict=False)]
                 top = [f[0] if f else (None, None, None) for f in found]
                 every = [",".join(sorted(n for n, *_ in f)) if f else None for f in found]
                 made = [pa.array([t[0] for t in top], pa.string()), pa.array([t[1] for t in top], pa.float64()), pa.array([t[2] for t in top], pa.int64()), pa.array(every, pa.string())]

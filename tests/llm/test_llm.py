@@ -375,6 +375,18 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd, "text", ["doc_id"]).count() == 10 and licenses.scan_licenses(none, "text", ["doc_id"]).count() == 0
 
 
+def test_overlapping_licenses(spark):
+    agpl, lgpl, gpl = (f"This program is free software{c} you can redistribute it and/or modify it under the terms of the GNU {k}General Public License as published by the Free Software Foundation{e} either version {v} of the License, or (at your option) any later version." for c, e, k, v in ((":", ",", "Affero ", 3), (":", ",", "Lesser ", 3), (";", ";", "", 2)))
+    hope = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details."
+    clauses = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    third = " 3. Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    texts = [agpl + hope.format("Affero "), lgpl + hope.format("Lesser "), gpl + hope.format(""), clauses, clauses + third, f"{clauses} {licenses._DISCLAIMER}", f"{clauses}{third} {licenses._DISCLAIMER}"]
+    texts.append(f"{texts[6]} And now for another part of it. {texts[5]}")
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", ["doc_id"]), "license", "licenses")
+    want = ["AGPL-3.0-or-later", "LGPL-3.0-or-later", "GPL-2.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause"]
+    assert [got[i] for i in range(7)] == [(n, n) for n in want] and got[7][1] == "BSD-2-Clause,BSD-3-Clause"
+
+
 # 10
 
 def test_mixing(spark, odd, none):
