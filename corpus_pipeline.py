@@ -39,8 +39,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in copies of its row."""
     prepare(spark)
-    size, copies = fresh([*docs.columns, "source_size", "target"], "mix_size", "copies")
-    mixed = mixing.mix(mixing.with_word_count(docs, "text", size), size)
+    size, *names = fresh(docs.columns, "mix_size", "source_size", "target", "copies")
+    mixed = mixing.mix(mixing.with_word_count(docs, "text", size), size, names=tuple(names))
+    copies = names[-1]
     (copy,) = fresh(mixed.columns, "copy")
     return mixed.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 

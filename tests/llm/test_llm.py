@@ -407,6 +407,16 @@ def test_mixing(spark, odd, none):
     assert goal["a"] == 20 and goal["b"] == 200 and goal[None] == pytest.approx(1665 - 220)
 
 
+def test_mix_of_clashing_columns(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.withColumn("source_size", F.lit(1)).withColumn("Target", F.lit(2)).withColumn("mix_size", F.lit(3))
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    plain = corpus_pipeline.mix_sources(spark, docs.select("doc_id", "text", "source"), "")
+    assert got.columns == docs.columns and got.count() > 0
+    assert rows(got.select("doc_id", "text", "source").toPandas()) == rows(plain.toPandas())
+
+
 @pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_oracle(name, spark, sf, duck):
     assert rows(registry.queries()[name](spark, sf).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).fetchdf())
