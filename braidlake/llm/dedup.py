@@ -346,8 +346,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, rep, class_id, links) of each row: rep is the least id with the same text, class_id the least one
-    of all that near-duplicate links lead to, links how many texts the row's text is linked with.
+    """(id, rep, class_id, verified_links) of each row: rep is the least id with the same text, class_id the least one
+    of all that near-duplicate links lead to, verified_links how many verified comparisons linked the row's text.
+    Not all pairs of a class are compared, so a text may have more near copies than verified_links.
 
     Null texts are in no class but their own row's; empty texts, and others without words, are copies of
     equal ones but near none; a text of fewer than five words is one shingle. Rows that repeat an id with
@@ -377,11 +378,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         labels = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
     known = reps.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
-    known = stage(known.select("key", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("links")))
+    known = stage(known.select("key", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("verified_links")))
     keys = stage(d.select("id", "key"))
-    return keys.join(known, "key").select("id", "rep", "class_id", "links")
+    return keys.join(known, "key").select("id", "rep", "class_id", "verified_links")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "rep", "class_id", "links")
+    return found.select(F.col("id").alias("doc_id"), "rep", "class_id", "verified_links")

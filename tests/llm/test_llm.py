@@ -304,6 +304,12 @@ def test_near_duplicates_with_shared_boilerplate(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_verified_links_are_of_comparisons(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "A B C D E F"), (3, "other words")], "doc_id long, text string")
+    got = {r["id"]: (r["class_id"], r["verified_links"]) for r in dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_shared_weight_of_blocks():
     r = random.Random(4)
     texts = [" ".join(r.choice(["a b c d e f", "p q r s t", "a a a a a a a", f"x{i % 9}", f"y{i}"]) for _ in range(r.randint(1, 25))) for i in range(60)]
