@@ -4,6 +4,10 @@ Texts are multisets of shingles of five words, hashed; a shingle weighs its coun
 document frequency. Samples are consistent: two texts share one with a probability of their weighted
 Jaccard similarity. Bands of samples give buckets; every two texts of a bucket end in one class or have
 been compared by exact weighted Jaccard similarity of the whole texts.
+
+Document frequencies count each crowd of near copies once: a text counts by 1 / the size of its crowd.
+Otherwise the words that a large group of near copies has in common would weigh as little as boilerplate,
+and the few words that differ would part the group. Crowd sizes come from unweighted minimum hashes.
 """
 
 from __future__ import annotations
@@ -12,27 +16,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.llm.common import stage, table
-from braidlake.llm.ranks import cells
 from braidlake.llm.words import LOWER, blocks, mix64, shingle_hashes, text_bytes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Document frequencies are kept for so many buckets of shingles: a table of fixed size, whatever the corpus.
-DF_BITS = 20
-#: The least weight of a shingle against the greatest. Near copies have their own words in common with each
-#: other, so plain inverse document frequency would take a large group of them for boilerplate.
-FLOOR = 0.95
-#: Members of a bucket that all others are compared with: all pairs of a bucket of one more at most.
-LEADERS = 8
+#: Counts of shingles, and of crowds, are kept in 2^BITS slots: tables of fixed size, whatever the corpus.
+BITS = 20
+#: Bands of two minimum hashes that tell a text's crowd.
+CROWD_BANDS = 8
+#: A text counts for ONE in a slot, or for its crowd's share of it; whole numbers add up alike in any order.
+ONE = 1 << 20
+#: Shingles of some such number of crowds weigh nearly as much as those of one.
+SMOOTH = 16.0
 #: Texts, and bytes of text, in a block of a large bucket; two blocks meet in a task.
 BLOCK, BLOCK_BYTES = 1024, 1 << 23
 #: Shingles in a dense matrix at once, and texts with a shingle up to which it is not worth one.
 DENSE, RARE = 4096, 16
-#: Bits of the map of ids whose texts are looked up.
+#: Bits of the map of texts that are looked up.
 FILTER_BITS = 24
 _SLICES = 64
 
@@ -42,7 +46,9 @@ def shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     h, first = shingle_hashes(LOWER[data], offsets, WIDTH)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((h, owner))
+    order = np.argsort(h)
+    few = owner[order].astype(np.uint16 if len(first) < 1 << 16 else np.int64)
+    order = order[np.argsort(few, kind="stable")]
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -51,16 +57,41 @@ def shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return count * idf[bucket(h)]
 
 
-def inverse(df: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequencies from FLOOR to 1."""
-    return FLOOR + (1 - FLOOR) * np.log1p(n / np.maximum(df, 1)) / np.log1p(max(n, 1))
+def inverse(df: np.ndarray, n: float) -> np.ndarray:
+    """Inverse document frequencies, 1 at most; what other shingles add to a slot on average is taken off."""
+    least = np.maximum(df - df.sum() / len(df), 1) + SMOOTH
+    return np.log1p(n / least) / np.log1p(max(n, 1) / (1 + SMOOTH))
+
+
+def crowd_slots(column) -> tuple[np.ndarray, np.ndarray]:
+    """(texts with words, (those texts, CROWD_BANDS) slots of their bands of unweighted minimum hashes)."""
+    data, offsets = text_bytes(column)
+    h, first = shingle_hashes(LOWER[data], offsets, WIDTH)
+    full = np.flatnonzero(first[:-1] < first[1:])
+    out = np.zeros((len(full), CROWD_BANDS), np.int64)
+    odd = mix64(np.arange(1001, 1001 + 2 * CROWD_BANDS, dtype=np.uint64)) | np.uint64(1)
+    for k in range(CROWD_BANDS if len(full) else 0):
+        one, two = (np.minimum.reduceat(h * o, first[full]) for o in odd[2 * k : 2 * k + 2])
+        out[:, k] = bucket(mix64(mix64(one + np.uint64(k)) ^ two))
+    return full, out
+
+
+def crowd_weights(column, crowds: np.ndarray) -> np.ndarray:
+    """What each text counts for: ONE, or ONE by the size of its crowd, where that stands out of what chance puts into a slot."""
+    full, slots = crowd_slots(column)
+    mean = crowds.sum() / len(crowds) / ONE
+    size = crowds[slots].max(axis=1, initial=0) / ONE - mean
+    size = np.where(size > 6 * np.sqrt(mean) + 1, size, 1)
+    out = np.full(len(column), ONE, np.int64)
+    out[full] = np.maximum(ONE / size, 1).astype(np.int64)
+    return out
 
 
 class Sampler:
@@ -114,95 +145,197 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(least / total) if total else 0.0
 
 
-def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """(texts with a shingle of each bucket, texts), over all rows. Tasks give slices of a fixed size, which add up."""
-    size = 1 << DF_BITS
+def counted(docs: DataFrame, text: str, of) -> np.ndarray:
+    """Sums of 2^BITS slots over all rows; of(texts) gives (slots, amounts).
+
+    Tasks give the slots they have, in slices; slices add up in two steps, so that no task reads those of all others.
+    """
+    size = 1 << BITS
+
+    def pack(total: np.ndarray) -> bytes:
+        at = np.flatnonzero(total).astype(np.uint16)
+        return at.tobytes() + total[at].astype(np.int64).tobytes()
+
+    def unpack(data: bytes, into: np.ndarray) -> None:
+        n = len(data) // 10
+        into[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data[2 * n :], np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(size, np.int64), 0
+        total, slots, amounts, held = np.zeros(size, np.int64), [], [], 0
+
+        def settle() -> None:
+            if slots:
+                np.add.at(total, np.concatenate(slots), np.concatenate(amounts))
+                slots.clear()
+                amounts.clear()
+
         for batch in batches:
             for _, part in blocks(batch.column(text), 1 << 18):
-                h, _, first = shingles(part)
-                df += np.bincount(bucket(h), minlength=size)
-                n += len(first) - 1
-        if n:
-            kept = [(i, x) for i, x in enumerate(np.split(df, _SLICES)) if x.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([_SLICES, *(i for i, _ in kept)], pa.int32()), pa.array([np.int64(n).tobytes(), *(x.astype(np.int64).tobytes() for _, x in kept)], pa.binary())], names=["slice", "df"])
+                s, x = of(part)
+                slots.append(s)
+                amounts.append(x)
+                held += len(s)
+                if held > 1 << 20:
+                    settle()
+                    held = 0
+        settle()
+        kept = [(i, pack(x)) for i, x in enumerate(np.split(total, _SLICES)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([x for _, x in kept], pa.binary())], names=["slice", "sums"])
 
     def add(key, group):
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in group["df"])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "df": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select(text).mapInArrow(count, "slice int, df binary")
-    # By hash of the slice and of the task's place, so that many tasks' slices add up in two steps.
-    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = some.groupBy("slice", "part").applyInArrow(add, "slice int, df binary")
-    df, n = np.zeros(size, np.int64), 0
-    for r in some.groupBy("slice").applyInArrow(add, "slice int, df binary").collect():
-        got = np.frombuffer(r["df"], np.int64)
-        if r["slice"] == _SLICES:
-            n = int(got[0])
-        else:
-            df[r["slice"] * len(got) : (r["slice"] + 1) * len(got)] = got
-    return df, n
+        total = np.zeros(size // _SLICES, np.int64)
+        for x in group["sums"]:
+            unpack(x.as_py(), total)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([pack(total)], pa.binary())})
+
+    parts = docs.select(text).mapInArrow(count, "slice int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
+    some = parts.groupBy("slice", "part").applyInArrow(add, "slice int, sums binary")
+    out = np.zeros(size, np.int64)
+    for r in some.groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():  # 2^BITS sums at most
+        unpack(r["sums"], out[r["slice"] * (size // _SLICES) : (r["slice"] + 1) * (size // _SLICES)])
+    return out
+
+
+def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
+    """The inverse document frequency of each slot, over all rows, in two passes: sizes of crowds, then shingles."""
+    spark = docs.sparkSession
+
+    def crowded(part) -> tuple[np.ndarray, np.ndarray]:
+        _, slots = crowd_slots(part)
+        return slots.reshape(-1), np.full(slots.size, ONE, np.int64)
 
+    crowds = counted(docs, text, crowded)
+    shared = spark.sparkContext.broadcast(crowds)
 
-def _bands(docs: DataFrame, text: str, idf, columns: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", bands array<long>"
+    def weighed(part) -> tuple[np.ndarray, np.ndarray]:
+        h, _, first = shingles(part)
+        return bucket(h), np.repeat(crowd_weights(part, shared.value), np.diff(first))
+
+    df = counted(docs, text, weighed)
+    return inverse(df / ONE, crowds.sum() / ONE / CROWD_BANDS)
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """16 bytes that are a text's own; 17 that are the id's where the text is null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.unhex(F.concat(F.lit("00"), F.md5(id_.cast("string")))))
+
+
+def _signed(docs: DataFrame, idf) -> DataFrame:
+    """docs(id, key, text) with `w`, a text's weight, and `bands` in place of the text; null texts and such without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(BANDS * ROWS)
         for whole in batches:
-            for start, part in blocks(whole.column(text), 1 << 18):
+            for start, part in blocks(whole.column("text"), 1 << 18):
                 b = whole.slice(start, len(part))
                 h, count, first = shingles(part)
-                keys = band_keys(sampler.sample(h, weights(h, count, idf.value), first))
-                some = (np.diff(first) > 0).tolist()
-                bands = pa.array([k if s else [] for k, s in zip(keys.tolist(), some, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), bands], names=[*columns, "bands"])
+                w, n = weights(h, count, idf.value), np.diff(first)
+                total = np.bincount(np.repeat(np.arange(len(n)), n), w, len(n))
+                keys = band_keys(sampler.sample(h, w, first))[n > 0]
+                at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("bytes"), pa.array(total, pa.float64()), bands], names=["id", "key", "bytes", "w", "bands"])
+
+    return docs.select("id", "key", F.octet_length("text").alias("bytes"), "text").mapInArrow(run, "id long, key binary, bytes int, w double, bands array<long>")
+
+
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) once for each of keys(key), of docs(key, text), and a few others.
+
+    Only a bitmap of 2^FILTER_BITS hashed keys is broadcast; it keeps most other texts out of the shuffle.
+    """
+    place = lambda: F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))
+    slots = keys.select(place().alias("p"))
+    found = slots.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in found.toLocalIterator():
+        bitmap[r["w"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def wanted(p: pa.Array) -> pa.Array:
+        at = p.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return docs.select("key", "text").where(wanted(place())).groupBy("key").agg(F.first("text").alias("text"))
 
-    return docs.select(*columns, text).mapInArrow(run, schema)
 
+def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; texts(key, text) has a key once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes | None, tuple | None] = (None, None)
+        for whole in batches:
+            keep = np.zeros(whole.num_rows, bool)
+            for start, part in blocks(whole.column("text_a"), 1 << 18):
+                two = whole.column("text_b").slice(start, len(part))
+                h, count, first = shingles(part)
+                w = weights(h, count, idf.value)
+                for i, b in enumerate(whole.column("b").slice(start, len(part)).to_pylist()):
+                    if last[0] != b:
+                        g, c, _ = shingles(two.slice(i, 1))
+                        last = (b, (g, weights(g, c, idf.value)))
+                    x, y = first[i], first[i + 1]
+                    keep[start + i] = jaccard((h[x:y], w[x:y]), last[1]) >= similarity - 1e-9
+            yield whole.select(["a", "b"]).filter(pa.array(keep))
+
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
-def _salted(members: DataFrame, salts: int) -> DataFrame:
-    """members with a salt: one has about the root of a bucket's members, and a bucket as many salts, so no task has a bucket."""
-    return members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(99)), F.lit(salts)))
 
+def components(edges: DataFrame) -> DataFrame:
+    """(key, label) of each key of the edges (a, b): keys have one label if a path of edges joins them, and the label is a key among them.
 
-def _candidates(members: DataFrame, salts: int) -> DataFrame:
-    """(a, b) pairs of members(band, rep, count): all of a bucket of LEADERS + 1 at most; of a larger one each member with the first, by an order of all texts."""
-    order = [F.xxhash64(F.lit(0), F.col("rep")), F.col("rep")]
-    m = _salted(members.select("band", "rep", "count"), salts)
-    wanted = F.when(F.col("count") > LEADERS + 1, 1).otherwise(LEADERS)
-    top = m.withColumn("n", F.row_number().over(Window.partitionBy("band", "salt").orderBy(*order))).where(F.col("n") <= wanted)
-    top = top.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("n") <= wanted)
-    leaders = m.select("band", "salt").distinct().join(top.select("band", F.col("rep").alias("head")), "band")
-    pairs = m.join(leaders, ["band", "salt"]).where("rep <> head")
-    return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+    In each turn a key goes to the least key next to it or itself, and edges with it; keys are hashes, so
+    the order is random and a constant part of the keys goes away, until no edge is left. Every turn is written.
+    """
+    labels = None
+    while True:
+        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        step = stage(ends.select("e.*").groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        if labels is None:
+            labels = step.select(F.col("a").alias("key"), F.col("to").alias("label"))
+        else:
+            labels = stage(labels.join(step.withColumnRenamed("a", "label"), "label", "left").select("key", F.coalesce("to", "label").alias("label")))
+        moved = edges.join(step.withColumnRenamed("to", "x"), "a").select("x", "b").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        edges = stage(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if edges.isEmpty():
+            return labels
 
 
-def _meetings(members: DataFrame, salts: int) -> DataFrame:
-    """(band, i, j, place, rep, label): the texts of block i and of block j of a bucket, for all i <= j whose texts are to be compared.
+def _meetings(members: DataFrame) -> DataFrame:
+    """(band, i, j, place, key, label): the texts of place i and of place j of a bucket, for all i <= j whose texts are to be compared.
 
-    Members are (band, rep, label, bytes). Any two members of different labels meet. The members of the
-    most frequent label have blocks of their own, which meet those of the others only.
+    Members are (band, key, label, w, bytes). Any two of different labels meet, unless the greater weighs
+    more than 1 / SIMILARITY times the lesser, which rules out that they are similar. A bucket of one
+    block is one place. In a larger one, texts of about a weight are places of a block each, and those of
+    the bucket's most frequent label have places of their own, which meet those of the others only.
     """
-    m = _salted(members, salts)
-    by_label = m.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    by_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
     most = F.struct("n", "label")
-    plan = by_label.groupBy("band").agg(
-        F.max_by("label", most).alias("main"), F.max_by("n", most).alias("main_n"), F.max_by("size", most).alias("main_size"),
-        F.sum("n").alias("n"), F.sum("size").alias("size"),
-    ).where("n > main_n")
+    buckets = by_label.groupBy("band").agg(F.max_by("label", most).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks_of = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
-    rest = blocks_of(F.col("n") - F.col("main_n"), F.col("size") - F.col("main_size"))
-    plan = plan.select("band", "main", rest.alias("p"), blocks_of(F.col("main_n"), F.col("main_size")).alias("q"))
-    met = m.join(m.select("band", "salt").distinct().join(plan, "band"), ["band", "salt"])
-    is_main, h = F.col("label") == F.col("main"), F.xxhash64("rep", F.lit(7))
-    place = F.when(is_main, F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int")
-    last = F.when(is_main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
-    met = met.select("band", "rep", "label", place.alias("place"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    return met.select("band", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "rep", "label")
+    buckets = stage(buckets.where("n > main_n").select("band", "main", (blocks_of(F.col("n"), F.col("size")) > 1).alias("large")))
+    level = F.floor(F.log(F.greatest("w", F.lit(1e-9))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
+    m = members.join(buckets, "band").select("band", "key", "label", "bytes", F.when(F.col("large"), level).otherwise(0).alias("level"), (F.col("large") & (F.col("label") == F.col("main"))).alias("own"))
+    m = stage(m)
+    sized = m.groupBy("band", "level", "own").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).withColumn("blocks", blocks_of(F.col("n"), F.col("size")))
+    # Levels of weight are some dozens whatever the bucket's size.
+    plan = stage(sized.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("level", "own").alias("k"), F.col("blocks").alias("v")))).alias("plan")))
+    met = m.join(plan, "band")
+    blocks_at = lambda at, own: F.coalesce(F.try_element_at("plan", F.struct(at.cast("int").alias("level"), own.alias("own"))), F.lit(0))
+    place = lambda at, own, sub: ((at + F.lit(1000)) * 2 + own.cast("int")).cast("long") * (1 << 20) + sub
+    mine = place(F.col("level"), F.col("own"), F.pmod(F.xxhash64("key"), blocks_at(F.col("level"), F.col("own"))))
+
+    def others(by: int, own: bool) -> Column:
+        at = F.col("level") + by
+        n = F.when(F.col("own") & F.lit(own), 0).otherwise(blocks_at(at, F.lit(own)))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda s: place(at, F.lit(own), s))).otherwise(F.array().cast("array<bigint>"))
+
+    to = [others(by, own) for by in (-1, 0, 1) for own in (False, True)]
+    met = met.select("band", "key", "label", mine.alias("place"), F.explode(F.concat(*to)).alias("other"))
+    return met.select("band", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place", "key", "label")
 
 
 def shared_weight(h: np.ndarray, count: np.ndarray, first: np.ndarray, idf: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -270,119 +403,59 @@ def linked(texts, label: np.ndarray, place: np.ndarray, idf: np.ndarray, similar
 
 
 def _closed(meetings: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """(a, b) near pairs of texts that meet and have different labels; texts(id, text) has an id once."""
+    """(a, b) labels of near texts that meet and have different labels; texts(key, text) has a key once."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
-        rep = group["rep"].to_numpy()
-        found = np.array(linked(group["text"], group["label"].to_numpy(), group["place"].to_numpy(), idf.value, similarity), np.int64).reshape(-1, 2)
-        ends = np.sort(rep[found], axis=1)
-        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
-
-    texts = _involved(texts, meetings.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
-    met = meetings.join(texts.withColumnRenamed("id", "rep"), "rep")
-    return met.select("band", "i", "j", "place", "rep", "label", "text").groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def _involved(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of texts(id, text) with an id of a pair, and a few others: by a bitmap of 2^FILTER_BITS hashed ids, which is all that is broadcast."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("p"))
-    words = ids.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():
-        bitmap[r["w"]] = r["bits"]
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column("p").to_numpy()
-            yield b.select(["id", "text"]).filter(pa.array((shared.value[p >> 6] >> (p & 63) & 1).astype(bool)))
-
-    return texts.select("id", "text", place("id").alias("p")).mapInArrow(run, "id long, text string")
-
+        group = group.sort_by("key")
+        codes = group["label"].combine_chunks().dictionary_encode()
+        found = np.array(linked(group["text"], codes.indices.to_numpy(), group["place"].to_numpy(), idf.value, similarity), np.int64).reshape(-1, 2)
+        return pa.table({c: group["label"].take(pa.array(found[:, i])) for i, c in enumerate("ab")}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; texts(id, text) has an id once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, tuple | None] = (None, None)
-        for whole in batches:
-            keep = np.zeros(whole.num_rows, bool)
-            for start, part in blocks(whole.column("text_a"), 1 << 18):
-                one, two = [], whole.column("text_b").slice(start, len(part))
-                h, count, first = shingles(part)
-                w = weights(h, count, idf.value)
-                one = [(h[x:y], w[x:y]) for x, y in zip(first, first[1:], strict=False)]
-                for i, (b, t) in enumerate(zip(whole.column("b").slice(start, len(part)).to_pylist(), two, strict=True)):
-                    if last[0] != b:
-                        g, c, _ = shingles(pa.array([t.as_py()], pa.string()))
-                        last = (b, (g, weights(g, c, idf.value)))
-                    keep[start + i] = jaccard(one[i], last[1]) >= similarity - 1e-9
-            chosen = whole.select(["a", "b"]).filter(pa.array(keep))
-            yield chosen
-
-    texts = _involved(texts, pairs)
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the least id that each id of the edges (a, b) is linked to, by any path.
-
-    Labels go along all edges and then each takes its label's label, until none changes; every round is written.
-    """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        up = labels.select(F.col("id").alias("new"), F.col("label").alias("up"))
-        step = stage(step.join(up, "new", "left").select("id", F.least("new", "up").alias("label"), "old"))
-        labels = step.select("id", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+    met = meetings.join(texts, "key").select("band", "i", "j", "place", "key", "label", "text")
+    return met.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, rep, class_id, verified_links) of each row: rep is the least id with the same text, class_id the least one
-    of all that near-duplicate links lead to, verified_links how many verified comparisons linked the row's text.
-    Not all pairs of a class are compared, so a text may have more near copies than verified_links.
+    """(id, key, rep, class_id, first) of each row: key tells the text, rep is the least id with the same text, class_id the
+    least one of all that near-duplicate links lead to; first is true for the class's text of that id (the
+    one of the least key, should an id have several), and false for all others.
 
-    Null texts are in no class but their own row's; empty texts, and others without words, are copies of
+    Null texts are in no class but their own id's; empty texts, and others without words, are copies of
     equal ones but near none; a text of fewer than five words is one shingle. Rows that repeat an id with
-    the same text are copies of each other; rows without an id are left out. An empty table gives no rows.
-    Any two texts with a bucket in common are in one class or have been compared, whatever the bucket's size.
+    the same text are copies of each other, and each has its row; different texts under one id are
+    compared as any others, but their classes have that id in common where it is the least of both. Rows
+    without an id are left out. An empty table gives no rows. Only the two named columns are read, so
+    others may have any names. Any two texts with a bucket in common are in one class or have been
+    compared, whatever the bucket's size; those of a large bucket whose weights rule it out are not.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    d = d.withColumn("key", F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))))
-    df, n = document_frequency(d.where("text IS NOT NULL"), "text")
-    idf = spark.sparkContext.broadcast(inverse(df, n))  # 2^DF_BITS numbers
-    signed = _bands(d.withColumn("bytes", F.octet_length("text").cast("long")), "text", idf, ["id", "key", "bytes"])
-    reps = stage(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")))
-    members = stage(reps.select("rep", "bytes", F.explode("bands").alias("band")))
-    sizes = stage(members.groupBy("band").count().where("count > 1"))
-    members = stage(members.join(sizes, "band"))
-    texts = d.select("id", "text").where("text IS NOT NULL")
-    salts = cells(n)
-    links = stage(_verified(stage(_candidates(members, salts)), texts, idf, similarity))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
+    d = d.withColumn("key", row_key(F.col("id"), F.col("text")))
+    idf = spark.sparkContext.broadcast(inverse_frequencies(d, "text"))  # 2^BITS numbers
+    rows = stage(_signed(d, idf))
+    reps = stage(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"), F.first("w").alias("w")))
+    each = reps.select("key", "bytes", "w", F.explode("bands").alias("band"))
+    sizes = stage(each.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).where("n > 1"))
+    members = stage(each.join(sizes, "band"))
+    texts = stage(_texts_of(d.where("text IS NOT NULL"), members.select("key")))
+    # Each member with its bucket's head: what large groups of copies have in common is settled in linear work.
+    links = stage(_verified(members.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), texts, idf, similarity))
     labels = components(links)
-    # All that is left: members of a large bucket that no link has brought into one class.
-    wide = members.where(F.col("count") > LEADERS + 1).select("band", "rep", "bytes")
-    wide = wide.join(labels, wide["rep"] == labels["id"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"), "bytes")
-    more = stage(_closed(stage(_meetings(stage(wide), salts)), texts, idf, similarity))
+    # Then what no link has brought into one class; two members have been compared already.
+    wide = members.where("n > 2").select("band", "key", "bytes", "w").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    more = stage(_closed(_meetings(stage(wide)), texts, idf, similarity))
+    known = reps.select("key", "rep").join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").count()
-    known = reps.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
-    known = stage(known.select("key", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("verified_links")))
-    keys = stage(d.select("id", "key"))
-    return keys.join(known, "key").select("id", "rep", "class_id", "verified_links")
+        merged = components(more).select(F.col("key").alias("label"), F.col("label").alias("to"))
+        known = known.join(merged, "label", "left").select("key", "rep", F.coalesce("to", "label").alias("label"))
+    known = stage(known)
+    least = known.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("least"))
+    classes = known.join(least, "label").select("key", "rep", F.col("least.rep").alias("class_id"), (F.col("least.key") == F.col("key")).alias("is_first"))
+    got = rows.select("id", "key").join(stage(classes), "key")
+    return got.select("id", "key", "rep", "class_id", (F.col("is_first") & (F.col("id") == F.col("class_id"))).alias("first"))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document; copies and near copies have the class_id in common."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "rep", "class_id", "verified_links")
+    return found.select(F.col("id").alias("doc_id"), "rep", "class_id")
