@@ -24,11 +24,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id; documents without text or without doc_id stay."""
+    """Of each class of near copies the document with the least doc_id; documents without doc_id stay.
+
+    Rows that repeat both doc_id and text are one document, of which any one row stays; different texts
+    under one doc_id are different documents. A null text is in a class of its own id.
+    """
     prepare(spark)
     found = dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = stage(found.where("id = class_id").select(F.col("id").alias("doc_id")).distinct())
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    (key,) = fresh(docs.columns, "text_key")
+    kept = stage(found.where("first").select(F.col("id").alias("doc_id"), F.col("key").alias(key)).distinct())
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn(key, dedup.row_key(F.col("doc_id"), F.col("text")))
+    once = keyed.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
