@@ -15,10 +15,18 @@ from braidlake.errors import RequestError
 
 _COMPARE = ("isNull", "equalTo", "notEqualTo", "in", "notIn", "lessThan", "lessThanOrEqualTo", "greaterThan", "greaterThanOrEqualTo", "distinctFrom", "notDistinctFrom")
 _EQUAL = ("isNull", "equalTo", "notEqualTo", "distinctFrom", "notDistinctFrom")
-_TEXT = ("like", "notLike", "likeInsensitive", "notLikeInsensitive") + tuple(
-    f"{n}{p}{i}" for p in ("tartsWith", "ndsWith", "ncludes") for n in ({"tartsWith": "s", "ndsWith": "e", "ncludes": "i"}[p], "not" + {"tartsWith": "S", "ndsWith": "E", "ncludes": "I"}[p]) for i in ("", "Insensitive")
-)
-_INSENSITIVE = tuple(f"{x}Insensitive" for x in ("equalTo", "notEqualTo", "distinctFrom", "notDistinctFrom", "lessThan", "lessThanOrEqualTo", "greaterThan", "greaterThanOrEqualTo", "in", "notIn"))
+# Names of the API.
+_TEXT = (
+    "like", "notLike", "likeInsensitive", "notLikeInsensitive",
+    "startsWith", "startsWithInsensitive", "notStartsWith", "notStartsWithInsensitive",
+    "endsWith", "endsWithInsensitive", "notEndsWith", "notEndsWithInsensitive",
+    "includes", "includesInsensitive", "notIncludes", "notIncludesInsensitive",
+)
+_INSENSITIVE = (
+    "equalToInsensitive", "notEqualToInsensitive", "distinctFromInsensitive", "notDistinctFromInsensitive",
+    "lessThanInsensitive", "lessThanOrEqualToInsensitive", "greaterThanInsensitive", "greaterThanOrEqualToInsensitive",
+    "inInsensitive", "notInInsensitive",
+)
 OPERATORS = {
     "String": (*_COMPARE, *_TEXT, *_INSENSITIVE), "Boolean": _EQUAL, "JSON": _EQUAL, "Interval": _EQUAL, "Point": (*_COMPARE, *_TEXT, *_INSENSITIVE),
     "List": ("some", "none", "every", "isEmpty"), "Enum": ("isNull", "equalTo", "notEqualTo", "in", "notIn"),
