@@ -35,21 +35,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a new one if all run in one process."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="braidlake-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and any executor can read it."""
+    """df written as Parquet to the shared folder and read again: lineage ends there, and any executor can read it.
+
+    The folder goes when the driver ends, or with release().
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    fs, path = _path(spark, at)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._braidlake_at = at
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Deletes what stage() has written, of tables that nothing will read again."""
+    for df in staged:
+        fs, path = _path(df.sparkSession, df._braidlake_at)
+        fs.delete(path, True)
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def fresh(columns: list[str], *wanted: str) -> list[str]:

@@ -181,13 +181,13 @@ def test_resampling_and_segments():
 def test_topk(spark):
     g = np.random.default_rng(3)
     x = np.concatenate([g.standard_normal((700, 16)), np.tile(g.standard_normal((1, 16)), (60, 1))]) / 4
-    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] + [0.1] * 15), (902, [float("nan")] * 16), (903, [float("inf")] * 16), (904, [])]
+    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] + [0.1] * 15), (902, [float("nan")] * 16), (903, [float("inf")] * 16), (904, []), (950, [0.5, 0.25]), (951, [1.0, 1.0]), (None, [0.1] * 16)]
     df = spark.createDataFrame(made, "vec_id long, embedding array<double>").select("vec_id", topk.integers(F.col("embedding")).alias("v"))
     got = defaultdict(list)
     for r in topk.top_k(df, "vec_id", "v", F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     z = np.floor(256 * x).astype(int)
-    assert set(got) == set(range(0, 760, 50))
+    assert set(got) == {*range(0, 760, 50), 950} and got.pop(950) == [(951, 128 * 256 + 64 * 256)]
     for q, found in got.items():
         s = z @ z[q]
         assert found == [(i, s[i]) for i in sorted((i for i in range(760) if i != q), key=lambda i: (-s[i], i))[:5]]
@@ -195,6 +195,29 @@ def test_topk(spark):
     assert topk.top_k(few, "vec_id", "v", F.col("vec_id") == 0).count() == 2 and topk.top_k(df.limit(0), "vec_id", "v", F.lit(True)).count() == 0
 
 
+def test_topk_stops_on_proof():
+    """64 random dimensions, as in the tables: right answers from part of the postings."""
+    g = np.random.default_rng(5)
+    x = g.standard_normal((6000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    x[100:160] = x[100]
+    index = topk.Index(np.arange(6000), x)
+    for i, (ids, scores) in enumerate(index.search(np.arange(0, 6000, 50), x[::50], 5)):
+        s = x @ x[50 * i]
+        s[50 * i] = -(10**9)
+        best = np.lexsort((np.arange(6000), -s))[:5]
+        assert ids.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
+    print(index.read / index.postings, index.rescored / 120 / 6000)
+    assert index.read < 0.7 * index.postings and index.rescored < 0.4 * 120 * 6000
+
+
+def test_topk_of_large_values(spark):
+    df = spark.createDataFrame([(0, [1e9, -1e300]), (1, [1e9, 3e9]), (2, [-1e9, 1e12]), (3, [1e300, -1e300])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df.select("vec_id", topk.integers(F.col("embedding")).alias("v")), "vec_id", "v", F.col("vec_id") < 2).orderBy("query_id", "rank").collect()]
+    top = 2**63 - 1
+    assert got == [(0, 1, 3, top), (0, 2, 1, -top), (0, 3, 2, -top), (1, 1, 2, top), (1, 2, 0, -top), (1, 3, 3, -top)]
+
+
 # 6
 
 def test_pii(spark, odd, none):
