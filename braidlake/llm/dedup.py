@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import stage, table
+from braidlake.llm.common import release, stage, table
 from braidlake.llm.words import LOWER, blocks, mix64, shingle_hashes, text_bytes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -290,17 +290,22 @@ def components(edges: DataFrame) -> DataFrame:
     In each turn a key goes to the least key next to it or itself, and edges with it; keys are hashes, so
     the order is random and a constant part of the keys goes away, until no edge is left. Every turn is written.
     """
-    labels = None
+    labels, own = None, []
     while True:
         ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         step = stage(ends.select("e.*").groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        moved = edges.join(step.withColumnRenamed("to", "x"), "a").select("x", "b").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        left = stage(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if labels is None:
-            labels = step.select(F.col("a").alias("key"), F.col("to").alias("label"))
+            labels = stage(step.select(F.col("a").alias("key"), F.col("to").alias("label")))
         else:
-            labels = stage(labels.join(step.withColumnRenamed("a", "label"), "label", "left").select("key", F.coalesce("to", "label").alias("label")))
-        moved = edges.join(step.withColumnRenamed("to", "x"), "a").select("x", "b").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = stage(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            grown = stage(labels.join(step.withColumnRenamed("a", "label"), "label", "left").select("key", F.coalesce("to", "label").alias("label")))
+            release(labels)
+            labels = grown
+        release(step, *own)
+        edges, own = left, [left]
         if edges.isEmpty():
+            release(edges)
             return labels
 
 
@@ -443,15 +448,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     labels = components(links)
     # Then what no link has brought into one class; two members have been compared already.
     wide = members.where("n > 2").select("band", "key", "bytes", "w").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    more = stage(_closed(_meetings(stage(wide)), texts, idf, similarity))
+    wide = stage(wide)
+    more = stage(_closed(_meetings(wide), texts, idf, similarity))
+    merged = components(more)
+    to = merged.select(F.col("key").alias("label"), F.col("label").alias("to"))
     known = reps.select("key", "rep").join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
-    if not more.isEmpty():
-        merged = components(more).select(F.col("key").alias("label"), F.col("label").alias("to"))
-        known = known.join(merged, "label", "left").select("key", "rep", F.coalesce("to", "label").alias("label"))
-    known = stage(known)
+    known = stage(known.join(to, "label", "left").select("key", "rep", F.coalesce("to", "label").alias("label")))
     least = known.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("least"))
-    classes = known.join(least, "label").select("key", "rep", F.col("least.rep").alias("class_id"), (F.col("least.key") == F.col("key")).alias("is_first"))
-    got = rows.select("id", "key").join(stage(classes), "key")
+    classes = stage(known.join(least, "label").select("key", "rep", F.col("least.rep").alias("class_id"), (F.col("least.key") == F.col("key")).alias("is_first")))
+    release(reps, sizes, members, texts, links, labels, wide, more, merged, known)
+    got = rows.select("id", "key").join(classes, "key")
     return got.select("id", "key", "rep", "class_id", (F.col("is_first") & (F.col("id") == F.col("class_id"))).alias("first"))
 
 

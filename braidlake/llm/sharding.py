@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,55 +14,74 @@ from braidlake.llm.common import fresh, stage, table
 from braidlake.llm.ranks import cell_of, cells, rank_within
 
 SHARDS = 8
-#: Groups of at least total / (shards * HEAVY) are scheduled one by one: shards * HEAVY of them at most.
-HEAVY = 512
-#: All other groups are dealt by their key to so many bundles, which are scheduled as one item each.
-BUNDLES = 4096
 
 
-def schedule(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """LPT: items by size, largest first (ties by name), each to the least-loaded shard (ties to the lower)."""
-    heap, out = [(0, k) for k in range(shards)], {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, k = heap[0]
-        heapq.heapreplace(heap, (load + size, k))
-        out[name] = k
-    return out
+def schedule(runs: Iterable[tuple[int, int]], shards: int) -> Iterable[list[int]]:
+    """LPT of runs (size, groups of that size), largest size first: for each run, the groups that each shard gets.
+
+    Each group goes to the least-loaded shard, ties to the lower one, from a heap. Groups of one size are
+    alike, so a long run is dealt at once as far as that is what the heap would do: every shard gets the
+    groups that find it under a load that all of them reach; the few that are left go through the heap.
+    """
+    load = [0] * shards
+    for size, n in runs:
+        got = [0] * shards
+        if n > 4 * shards and size > 0:
+            before = lambda level: [max(0, -(-(level - x) // size)) for x in load]  # noqa: B023, E731  groups that find a shard under the level
+            low, high = min(load), max(load) + size * (n + 1)
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if sum(before(middle)) <= n else (low, middle)
+            got = before(low)
+            load = [x + size * g for x, g in zip(load, got, strict=True)]
+        elif size == 0:
+            got[min(range(shards), key=lambda k: (load[k], k))] = n  # they weigh nothing, so the heap's top stays
+            yield got
+            continue
+        heap = [(x, k) for k, x in enumerate(load)]
+        heapq.heapify(heap)
+        for _ in range(n - sum(got)):
+            x, k = heap[0]
+            heapq.heapreplace(heap, (x + size, k))
+            load[k] = x + size
+            got[k] += 1
+        yield got
 
 
-def assign(docs: DataFrame, group: str, size: str, shards: int = SHARDS, heavy: int = HEAVY, bundles: int = BUNDLES) -> DataFrame:
-    """docs with `shard`: the rows of a group together, the shards' total sizes near equal.
+def assign(docs: DataFrame, group: str, size: str, shards: int = SHARDS) -> DataFrame:
+    """docs with a last column `shard` (with _ before it where docs has that name): the rows of a group together, by LPT over all groups.
 
-    group is a column without nulls. The heap on the driver sees shards * heavy + bundles items at most,
-    however many groups there are; a bundle is about a 1/bundles part of the light groups. A group larger
-    than a shard's share is not split, as groups stay together: its shard then takes that group alone
-    as far as the others can take the rest. Ties, repeated rows, sizes of 0 and empty tables need no special case.
+    group is a column without nulls, size one of longs; null sizes count as 0. Groups are counted by
+    their size; the heap on the driver deals one run of equal groups after the other, and a group finds
+    its shard by its rank within its run (ties by hash and name, so reruns agree). The driver holds a row
+    for each different size of a group: their sum is within the total T, so they are sqrt(2 T) at most,
+    and in text corpora some ten thousands. A group larger than a shard's share is not split, as groups
+    stay together. Groups of size 0 all go to the shard that is least loaded at the end. Ties and
+    repeated rows need no special case; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bundle, item, shard = fresh(docs.columns, "lpt_bundle", "lpt_item", "shard")
-    groups = stage(docs.groupBy(group).agg(F.sum(size).alias("size")).withColumn(bundle, F.concat(F.lit("b"), cell_of(F.col(group), bundles).cast("string"))))
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    alone = (F.col("size") > 0) & (F.col("size") * (shards * heavy) >= total)
-    large = groups.where(alone)
-    single = [(r["size"], "g" + r[group]) for r in large.select(group, "size").collect()]
-    light = groups.where(~alone)
-    packed = [(r["size"], r[bundle]) for r in light.groupBy(bundle).agg(F.sum("size").alias("size")).collect()]
-    plan = schedule(single + packed, shards)
-    # Both sides are bounded by the two parameters.
-    lookup = spark.createDataFrame(list(plan.items()), f"`{item}` string, `{shard}` int")
-    ones = F.broadcast(lookup.where(F.col(item).startswith("g")).select(F.substring(item, 2, 1 << 20).alias(group), F.col(shard).alias(item)))
-    many = F.broadcast(lookup.where(F.col(item).startswith("b")).select(F.col(item).alias(bundle), F.col(shard)))
-    keyed = docs.withColumn(bundle, F.concat(F.lit("b"), cell_of(F.col(group), bundles).cast("string")))
-    joined = keyed.join(ones, group, "left").join(many, bundle, "left")
-    return joined.select(*(F.col(c) for c in docs.columns), F.coalesce(F.col(item), F.col(shard)).alias("shard"))
+    shard, total, place, coarse, cell = fresh([*docs.columns], "shard", "lpt_size", "lpt_rank", "lpt_bin", "lpt_cell")
+    groups = stage(docs.groupBy(group).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias(total)))
+    counts = groups.groupBy(total).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(total))
+    runs = counts.toArrow()
+    sizes, n = runs[total].to_numpy(), runs["n"].to_numpy()
+    ends = np.cumsum(np.array(list(schedule(zip(sizes.tolist(), n.tolist(), strict=True), shards)), np.int64).reshape(-1, shards), axis=1)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * shards), pa.array(ends.reshape(-1)))
+    plan = spark.createDataFrame(pa.table({total: pa.array(sizes, pa.int64()), "ends": flat}), f"`{total}` long, ends array<long>")
+    m = cells(int(n.sum()))
+    keyed = groups.withColumn(cell, cell_of(F.col(group), m)).withColumn(coarse, F.floor(F.col(cell) / 32).cast("int"))
+    ranked = rank_within(keyed, total, coarse, cell, [group], place).join(plan, total)
+    # The first shard that has more groups of the run, with those before it, than the rank.
+    found = stage(ranked.select(group, F.size(F.filter("ends", lambda e: e <= F.col(place))).alias(shard)))
+    return docs.join(found, group).select(*(F.col(f"`{c}`") for c in docs.columns), shard)
 
 
-def with_slots(placed: DataFrame, id_col: str, rows: int, name: str = "slot") -> DataFrame:
+def with_slots(placed: DataFrame, id_col: str, rows: int, shard: str = "shard", name: str = "slot") -> DataFrame:
     """placed with each row's place in its shard: 0 and up, without gaps."""
     coarse, cell = fresh([*placed.columns, name], "slot_bin", "slot_cell")
     n = cells(rows)
     keyed = placed.withColumn(coarse, F.floor(cell_of(F.col(id_col), n) / 32).cast("int")).withColumn(cell, cell_of(F.col(id_col), n))
-    return rank_within(keyed, "shard", coarse, cell, [id_col], name).select(*placed.columns, name)
+    return rank_within(keyed, shard, coarse, cell, [id_col], name).select(*(F.col(f"`{c}`") for c in placed.columns), name)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,24 +430,55 @@ def test_components(spark):
 
 # 8
 
+def plain_lpt(sizes, shards):
+    """Loads of the shards, by the plainest form of the rule."""
+    load = [0] * shards
+    for x in sorted(sizes, reverse=True):
+        load[min(range(shards), key=lambda k: (load[k], k))] += x
+    return load
+
+
+def test_lpt_of_runs():
+    r = random.Random(3)
+    for _ in range(300):
+        shards = r.randint(1, 9)
+        sizes = [r.choice([0, 1, 1, 2, 5, 5, 40, r.randint(0, 300)]) for _ in range(r.randint(0, 400))] + [r.randint(1, 4000)] * r.randint(0, 2)
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        got = list(sharding.schedule(runs, shards))
+        assert all(sum(g) == n for g, (_, n) in zip(got, runs, strict=True))
+        assert [sum(g[k] * size for g, (size, _) in zip(got, runs, strict=True)) for k in range(shards)] == plain_lpt(sizes, shards)
+
+
 def test_sharding(spark, odd, none):
     r = random.Random(1)
-    made = [(i, f"t{i % 37}" if i % 3 == 0 else f"own {i} " + "x" * r.randint(0, 300)) for i in range(600)]
+    made = [(i, f"t{i % 37}" if i % 3 == 0 else f"own {i} " + "x" * r.randint(0, 300)) for i in range(600)] + [(1000 + i, "same") for i in range(3000)]
     df = spark.createDataFrame(made, "doc_id long, text string").withColumn("size", (F.octet_length("text") + 1).cast("long")).withColumn("grouped", F.md5("text"))
-    got = sharding.with_slots(sharding.assign(df, "grouped", "size", 8), "doc_id", 600).toPandas()
-    load = got.groupby("shard")["size"].sum()
-    assert len(got) == 600 and load.max() - load.min() <= got["size"].max() and got.groupby("text").shard.nunique().max() == 1
+    got = sharding.with_slots(sharding.assign(df, "grouped", "size", 8), "doc_id", 3600).toPandas()
+    assert len(got) == 3600 and got.groupby("text").shard.nunique().max() == 1
+    groups = got.groupby("text")["size"].sum().tolist()
+    assert [int(got[got.shard == k]["size"].sum()) for k in range(8)] == plain_lpt(groups, 8)
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
-    hot = spark.createDataFrame([(i, "same") for i in range(200)] + [(1000 + i, f"x{i}") for i in range(200)], "doc_id long, text string").withColumn("size", F.lit(5).cast("long")).withColumn("grouped", F.md5("text"))
-    placed = sharding.assign(hot, "grouped", "size", 8).toPandas()
-    assert placed[placed.text == "same"].shard.nunique() == 1 and placed.groupby("shard")["size"].sum().drop(placed[placed.text == "same"].shard.iloc[0]).between(100, 180).all()
-    assert sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
-    keyed = odd.withColumn("grouped", F.coalesce(F.md5("text"), F.lit("null"))).withColumn("n", F.lit(2).cast("long"))
-    assert sharding.assign(keyed, "grouped", "n").count() == 10
-    assert sharding.assign(keyed.withColumn("n", F.lit(0).cast("long")), "grouped", "n").where("shard IS NULL").count() == 0
+    keyed = odd.withColumn("grouped", F.coalesce(F.md5("text"), F.lit("null"))).withColumn("n", F.lit(2).cast("long")).withColumn("Shard", F.lit("own")).withColumn("lpt_rank", F.lit(0))
+    placed = sharding.assign(keyed, "grouped", "n")
+    assert placed.count() == 10 and placed.columns == [*keyed.columns, "_shard"] and {r["Shard"] for r in placed.collect()} == {"own"}
+    zero = sharding.assign(odd.withColumn("grouped", F.coalesce(F.md5("text"), F.lit("null"))).withColumn("n", F.lit(None).cast("long")), "grouped", "n")
+    assert {r["shard"] for r in zero.collect()} == {0}
     assert sharding.assign(none.withColumn("grouped", F.md5("text")), "grouped", "n_chars").count() == 0
 
 
+def test_sharding_query(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["op8_sharding"](spark, sf).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    raw = {i: (t or "").encode() for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert sorted(raw) == sorted(got.index) and all(got["size"][i] == len(b) + 1 and got.text_crc32[i] == zlib.crc32(b) for i, b in raw.items())
+    size = Counter()
+    for b in raw.values():
+        size[b] += len(b) + 1
+    assert got.groupby("shard")["size"].sum().tolist() == plain_lpt(size.values(), 8) and got.law.eq("bytes").all() and got.grown_shard.isna().all()
+    assert len({(raw[i], s) for i, s in got.shard.items()}) == len(size) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 # 9
 
 def test_licenses(spark, odd, none):
