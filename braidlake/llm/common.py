@@ -82,3 +82,8 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def schema_of(docs: DataFrame, columns: list[str]) -> str:
+    """DDL of these columns, each with a comma behind it."""
+    return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)

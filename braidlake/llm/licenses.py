@@ -8,6 +8,7 @@ bigrams of, and only windows between such bigrams, of sizes within the bounds, a
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from braidlake.llm.common import table
+from braidlake.llm.common import fresh, schema_of, table
 from braidlake.llm.toxicity import _letters
 from braidlake.llm.words import LOWER, blocks, mix64, text_bytes, word_hashes
 
 THRESHOLD = 0.8
 #: Of windows that overlap, one that is LONGER times as long as the best goes before it if it scores less by NEAR at most.
 NEAR, LONGER = 0.1, 1.2
+#: Starts whose windows are looked at together.
+STARTS = 2048
 
 _WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details."
 _DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
@@ -98,85 +101,154 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Scanner:
+    """Finds the windows of a text that are like a template.
+
+    The bigrams of a text that a template has are its hits. In a window from hit i to hit j, hit t counts
+    if the window holds fewer than the template's own number of the same bigram before t: if the hit that
+    many places before, among its equals, stands before i. So all windows from a start are one running sum.
+    """
+
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         self.names, self.threshold = [name for name, _ in templates], threshold
         grams, first = bigrams(*text_bytes(pa.array([t for _, t in templates])))
         self.grams = [Counter(grams[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
+        self.own = [np.unique(grams[a:b], return_counts=True) for a, b in zip(first, first[1:], strict=False)]
+        self.total = [int(n.sum()) for _, n in self.own]
         self.keys = np.unique(grams)
-        self.least = [int(np.ceil(threshold * g.total() / (2 - threshold) - 1e-9)) for g in self.grams]
-        self.most = [int((2 - threshold) * g.total() / threshold + 1e-9) for g in self.grams]
+        self.least = [int(np.ceil(threshold * n / (2 - threshold) - 1e-9)) for n in self.total]
+        self.most = [int((2 - threshold) * n / threshold + 1e-9) for n in self.total]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.keys >> np.uint64(48)] = True
 
     def scan(self, grams: np.ndarray) -> list[tuple[str, float, int]]:
         """(licence, best coefficient, word it starts at) of a text's bigrams, best first, those at the threshold at least."""
-        best: dict[str, tuple[float, int]] = {}
-        for name, d, p, _ in self.windows(grams):
-            best.setdefault(name, (d, p))
-        return [(n, d, p) for n, (d, p) in best.items()]
+        out = []
+        for t in self._tables(grams):
+            i = int(np.argmax(t.dice))
+            if t.dice[i] > 0:
+                out.append((t.name, float(t.dice[i]), int(t.at[i]), int(t.size[i])))
+        return _best_of(sorted(out, key=_order))
 
     def apart(self, grams: np.ndarray) -> list[tuple[str, float, int]]:
-        """As scan, but of windows that overlap only the best counts: what is left and right of it is scanned anew."""
-        found, left = [], [(0, len(grams))]
-        while left:
-            start, end = left.pop()
-            got = self.windows(grams[start:end])
-            if not got:
-                continue
-            _, d, p, size = got[0]
-            longer = [x for x in got if x[1] >= d - NEAR and x[3] >= LONGER * size and x[2] < p + size and p < x[2] + x[3]]
-            name, d, p, size = (longer or got)[0]
-            found.append((name, d, start + p))
-            left += [(start, start + p), (start + p + size, end)]
-        best: dict[str, tuple[float, int]] = {}
-        for name, d, p in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
-            best.setdefault(name, (d, p))
-        return [(n, d, p) for n, (d, p) in best.items()]
-
-    def windows(self, grams: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, word it starts at, bigrams) of the best window of each template, best first."""
+        """As scan, but of windows that overlap only the best counts, or a longer one on near ties; what is left beside it is looked at anew."""
+        tables = self._tables(grams)
+        if not any(t.dice.any() for t in tables):
+            return []
+        # Best first; windows that a chosen one has cut come back with what is left of them.
+        firsts = [np.flatnonzero(t.dice > 0) for t in tables]
+        which = np.repeat(np.arange(len(tables)), [len(f) for f in firsts])
+        start = np.concatenate(firsts)
+        dice_, at, size = (np.concatenate([x[f] for x, f in zip(col, firsts, strict=True)]) for col in ([t.dice for t in tables], [t.at for t in tables], [t.size for t in tables]))
+        order = np.lexsort((which, -size, at, -dice_))
+        queue = list(zip((-dice_[order]).tolist(), at[order].tolist(), (-size[order]).tolist(), which[order].tolist(), start[order].tolist(), strict=True))
+        queue.reverse()
+        again: list = []
+        found = []
+        while queue or again:
+            take = heapq.heappop(again) if again and (not queue or again[0] < queue[-1]) else queue.pop()
+            minus, p, minus_size, k, i = take
+            t = tables[k]
+            if t.dice[i] != -minus or t.size[i] != -minus_size:
+                continue  # it has been cut, or dropped
+            name, d, size_ = t.name, -minus, -minus_size
+            rivals = []
+            for other in tables:
+                lo, hi = np.searchsorted(other.at, [p - other.most, p + size_])
+                ok = np.flatnonzero((other.dice[lo:hi] >= max(d - NEAR, 1e-12)) & (other.size[lo:hi] >= LONGER * size_) & (other.at[lo:hi] + other.size[lo:hi] > p)) + lo
+                if len(ok):
+                    j = ok[np.lexsort((-other.size[ok], other.at[ok], -other.dice[ok]))[0]]
+                    rivals.append((other.name, float(other.dice[j]), int(other.at[j]), int(other.size[j])))
+            if rivals:
+                name, d, p, size_ = min(rivals, key=_order)
+            found.append((name, d, p, size_))
+            for n, other in enumerate(tables):
+                lo, hi = np.searchsorted(other.at, [p - other.most, p + size_])
+                inside = other.at[lo:hi] >= p
+                other.dice[lo:hi][inside] = 0
+                cut = lo + np.flatnonzero(~inside & (other.dice[lo:hi] > 0) & (other.at[lo:hi] + other.size[lo:hi] > p))
+                if len(cut):
+                    self._fill(other, cut, p)
+                    for c in cut[other.dice[cut] > 0].tolist():
+                        heapq.heappush(again, (-float(other.dice[c]), int(other.at[c]), -int(other.size[c]), n, c))
+        return _best_of(sorted(found, key=_order))
+
+    def _tables(self, grams: np.ndarray) -> list[_Starts]:
+        """For each template that a text has enough bigrams of, the best window from each of its hits."""
         hit = np.flatnonzero(self.maybe[grams >> np.uint64(48)])
         hit = hit[np.isin(grams[hit], self.keys)]
-        if not len(hit):
-            return []
-        out = []
-        values = grams[hit].tolist()
-        for name, own, least, most in zip(self.names, self.grams, self.least, self.most, strict=True):
-            at = [p for p, v in zip(hit.tolist(), values, strict=True) if v in own]
-            if len(at) < least:
+        values, out = grams[hit], []
+        for k, (keys, counts) in enumerate(self.own):
+            if len(hit) < self.least[k]:
                 continue
-            best: tuple[float, int, int] = (0.0, 0, 0)
-            # Windows from one shared bigram to another, within the bounds; more shared ones than the template has don't count.
-            for i in range(len(at) - least + 1):
-                seen: Counter = Counter()
-                shared = 0
-                for p in at[i:]:
-                    size = p - at[i] + 1
-                    if size > most:
-                        break
-                    v = int(grams[p])
-                    if seen[v] < own[v]:
-                        seen[v] += 1
-                        shared += 1
-                    if size >= least and shared >= least:
-                        d = 2 * shared / (size + own.total())
-                        if d >= self.threshold - 1e-12 and d > best[0]:
-                            best = (d, at[i], size)
-            if best[0]:
-                out.append((name, *best))
-        return sorted(out, key=lambda x: (-x[1], x[2], -x[3], x[0]))
+            place = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            mine = keys[place] == values
+            at, kind = hit[mine], place[mine]
+            if np.minimum(np.bincount(kind, minlength=len(keys)), counts * np.maximum(1, len(at))).sum() < self.least[k]:
+                continue
+            # The hit with as many equals between as the template has of that bigram.
+            order = np.argsort(kind, kind="stable")
+            before = np.full(len(at), -1)
+            rank = np.arange(len(at)) - np.searchsorted(kind[order], kind[order])
+            old = rank >= counts[kind[order]]
+            before[order[old]] = order[np.flatnonzero(old) - counts[kind[order]][old]]
+            table_ = _Starts(self.names[k], at, before, self.total[k], self.least[k], self.most[k])
+            self._fill(table_, np.arange(len(at)), len(grams))
+            out.append(table_)
+        return out
+
+    def _fill(self, t: _Starts, starts: np.ndarray, end: int) -> None:
+        """The best windows from these hits that end before `end`."""
+        t.dice[starts], t.size[starts] = 0, 0
+        # Only starts with enough hits within reach can be the start of one.
+        reach = np.searchsorted(t.at, np.minimum(t.at[starts] + t.most, end))
+        starts, reach = (x[reach - starts >= t.least] for x in (starts, reach))
+        for a in range(0, len(starts), STARTS):
+            i, last = starts[a : a + STARTS], reach[a : a + STARTS]
+            width = int((last - i).max())
+            j = i[:, None] + np.arange(width)
+            there = j < last[:, None]
+            j = np.minimum(j, len(t.at) - 1)
+            shared = np.cumsum((t.before[j] < i[:, None]) & there, axis=1)
+            size = t.at[j] - t.at[i][:, None] + 1
+            d = np.where(there & (size >= t.least) & (shared >= t.least), 2 * shared / (size + t.total), 0)
+            best = np.argmax(d, axis=1)
+            row = np.arange(len(i))
+            ok = d[row, best] >= self.threshold - 1e-12
+            t.dice[i[ok]], t.size[i[ok]] = d[row, best][ok], size[row, best][ok]
+
+
+class _Starts:
+    """The hits of one template in a text, and the best window from each: its coefficient (0: none) and bigrams."""
+
+    def __init__(self, name: str, at: np.ndarray, before: np.ndarray, total: int, least: int, most: int):
+        self.name, self.at, self.before, self.total, self.least, self.most = name, at, before, total, least, most
+        self.dice, self.size = np.zeros(len(at)), np.zeros(len(at), np.int64)
+
+
+def _order(window: tuple[str, float, int, int]):
+    return -window[1], window[2], -window[3], window[0]
+
+
+def _best_of(windows: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int]]:
+    best: dict[str, tuple[float, int]] = {}
+    for name, d, p, _ in windows:
+        best.setdefault(name, (d, p))
+    return [(n, d, p) for n, (d, p) in best.items()]
 
 
 def scan_licenses(docs: DataFrame, text: str, columns: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The columns with license (the best match, null for none), dice, start_word and licenses (all, in order of code points, by commas).
 
     Matches do not overlap: of templates that match the same words the best counts, a longer one before it on near ties.
+    Where one of the columns has the name of a new one, the new one takes _ before its name.
 
     Null and empty texts, and such of one word, match nothing; whole texts are scanned, however long;
     of equal coefficients the earlier in the text comes first, then the lesser name; equal texts get equal
     values, repeated rows a row each; an empty table gives no rows.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", license string, dice double, start_word long, licenses string"
+    names = fresh(columns, "license", "dice", "start_word", "licenses")
+    made_schema = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "long", "string"), strict=True))
+    schema = schema_of(docs, columns) + made_schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
@@ -189,7 +261,7 @@ def scan_licenses(docs: DataFrame, text: str, columns: list[str], templates=TEMP
                 top = [f[0] if f else (None, None, None) for f in found]
                 every = [",".join(sorted(n for n, *_ in f)) if f else None for f in found]
                 made = [pa.array([t[0] for t in top], pa.string()), pa.array([t[1] for t in top], pa.float64()), pa.array([t[2] for t in top], pa.int64()), pa.array(every, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], names=[*columns, "license", "dice", "start_word", "licenses"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], names=[*columns, *names])
 
     return docs.select(*columns, *([text] if text not in columns else [])).mapInArrow(run, schema)
 
