@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from braidlake.llm.common import table
+from braidlake.llm.common import fresh, schema_of, table
 from braidlake.llm.words import blocks
 
 RATE = 8000
@@ -168,18 +168,30 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 or (64 if not text else 0))
 
 
-_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments int"
+#: New columns and their types.
+_MADE = (
+    ("n_bytes", "long", pa.int64()), ("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()),
+    ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("segments", "int", pa.int32()),
+    ("spans", "array<struct<start_s:float,end_s:float>>", pa.list_(pa.struct([("start_s", pa.float32()), ("end_s", pa.float32())]))),
+    ("tensors", "binary", pa.binary()), ("media", "binary", pa.binary()),
+)
 
 
-def media_columns(docs: DataFrame, text: str, columns: list[str], keep_media: bool = False) -> DataFrame:
-    """The columns with the clip of each text and its features; keep_media: also `media` and `tensors`, the files themselves.
+def media_columns(docs: DataFrame, text: str, columns: list[str], keep_media: bool = False, keep_tensors: bool = False) -> DataFrame:
+    """The columns with the clip of each text and its features.
 
-    Null texts are empty: a clip of 64 zero bytes. feature is "frames x mels:" and the SHA-256 of the
-    Arrow stream. All depends on the text alone, so equal texts have equal values; the longest texts
-    are done whole, in blocks of frames; an empty table gives no rows.
+    spans are the segments' times; feature is "spans x mels:" and the SHA-256 of the Arrow stream that
+    holds the segments' log-mel tensors of fixed shape and their times. keep_tensors: also `tensors`, that
+    stream; keep_media: both, and `media`, the clip's file.
+
+    Null texts are empty: a clip of 64 zero bytes. All depends on the text alone, so equal texts have
+    equal values, and repeated rows a row each; the longest texts are done whole, in blocks of frames; an
+    empty table gives no rows. Where one of the columns has the name of a new one, the new one takes _
+    before its name.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    names = [*columns, *(x.split()[0] for x in _SCHEMA.split(", ")), *(["media", "tensors"] if keep_media else [])]
+    made = _MADE if keep_media else _MADE[:-1] if keep_tensors else _MADE[:-2]
+    names = fresh(columns, *(n for n, *_ in made))
+    schema = schema_of(docs, columns) + ", ".join(f"`{n}` {kind}" for n, (_, kind, _) in zip(names, made, strict=True))
 
     def one(text: str) -> tuple:
         raw = text.encode()
@@ -187,21 +199,21 @@ def media_columns(docs: DataFrame, text: str, columns: list[str], keep_media: bo
         back, _ = from_wav(media)
         tensors, seconds = features(media)
         stored = to_arrow(tensors, seconds)
-        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{SPANS}x{MELS}:{hashlib.sha256(stored).hexdigest()}", len(tensors))
-        return (*row, media, stored) if keep_media else row
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), *([pa.binary(), pa.binary()] if keep_media else [])]
+        spans = [{"start_s": a, "end_s": b} for a, b in seconds.tolist()]
+        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{SPANS}x{MELS}:{hashlib.sha256(stored).hexdigest()}", len(tensors), spans, stored, media)
+        return row[: len(made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start, column in blocks(whole.column(text)):
                 b = whole.slice(start, len(column))
                 rows = [one(t or "") for t in column.to_pylist()]
-                made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], names=names)
+                new = [pa.array([r[i] for r in rows], k) for i, (_, _, k) in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *new], names=[*columns, *names])
 
-    return docs.select(*columns, *([text] if text not in columns else [])).mapInArrow(run, f"{schema}, {_SCHEMA}" + (", media binary, tensors binary" if keep_media else ""))
+    return docs.select(*columns, *([text] if text not in columns else [])).mapInArrow(run, schema)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+    """Digests of every text's clip, with its segments' time spans and their log-mel tensors."""
+    return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"], keep_tensors=True)

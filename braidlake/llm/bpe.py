@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from braidlake.llm.common import table
+from braidlake.llm.common import fresh, schema_of, table
 from braidlake.llm.words import powers_of, blocks, mix64, text_bytes
 
 #: Pre-tokens that a worker keeps with their ids; beyond it, it starts anew.
@@ -314,9 +314,11 @@ def bpe(docs: DataFrame, text: str, path: str, pattern: str, columns: list[str])
     """The columns, with n_tokens, ids_sha256 and decoded_sha256 of each text.
 
     Null texts are empty: no tokens, the hashes of empty strings. Texts of any length are encoded whole;
-    equal texts get equal values; an empty table gives no rows.
+    equal texts get equal values, repeated rows a row each; an empty table gives no rows. Where one of
+    the columns has the name of a new one, the new one takes _ before its name.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    names = fresh(columns, "n_tokens", "ids_sha256", "decoded_sha256")
+    schema = schema_of(docs, columns) + "`{}` long, `{}` string, `{}` string".format(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -333,9 +335,9 @@ def bpe(docs: DataFrame, text: str, path: str, pattern: str, columns: list[str])
                     ids.append(hashlib.sha256(" ".join(map(vocab.text_of.__getitem__, r)).encode()).hexdigest())
                     back.append(hashlib.sha256(got).hexdigest())
                 n = pa.array(count, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), n, pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), n, pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[*columns, *names])
 
-    return docs.select(*columns, *([text] if text not in columns else [])).mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*columns, *([text] if text not in columns else [])).mapInArrow(run, schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.llm.common import release, stage, table
+from braidlake.llm.slots import counted
 from braidlake.llm.words import LOWER, blocks, mix64, shingle_hashes, text_bytes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -38,7 +39,6 @@ BLOCK, BLOCK_BYTES = 1024, 1 << 23
 DENSE, RARE = 4096, 16
 #: Bits of the map of texts that are looked up.
 FILTER_BITS = 24
-_SLICES = 64
 
 
 def shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,73 +145,22 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(least / total) if total else 0.0
 
 
-def counted(docs: DataFrame, text: str, of) -> np.ndarray:
-    """Sums of 2^BITS slots over all rows; of(texts) gives (slots, amounts).
-
-    Tasks give the slots they have, in slices; slices add up in two steps, so that no task reads those of all others.
-    """
-    size = 1 << BITS
-
-    def pack(total: np.ndarray) -> bytes:
-        at = np.flatnonzero(total).astype(np.uint16)
-        return at.tobytes() + total[at].astype(np.int64).tobytes()
-
-    def unpack(data: bytes, into: np.ndarray) -> None:
-        n = len(data) // 10
-        into[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data[2 * n :], np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, slots, amounts, held = np.zeros(size, np.int64), [], [], 0
-
-        def settle() -> None:
-            if slots:
-                np.add.at(total, np.concatenate(slots), np.concatenate(amounts))
-                slots.clear()
-                amounts.clear()
-
-        for batch in batches:
-            for _, part in blocks(batch.column(text), 1 << 18):
-                s, x = of(part)
-                slots.append(s)
-                amounts.append(x)
-                held += len(s)
-                if held > 1 << 20:
-                    settle()
-                    held = 0
-        settle()
-        kept = [(i, pack(x)) for i, x in enumerate(np.split(total, _SLICES)) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([x for _, x in kept], pa.binary())], names=["slice", "sums"])
-
-    def add(key, group):
-        total = np.zeros(size // _SLICES, np.int64)
-        for x in group["sums"]:
-            unpack(x.as_py(), total)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([pack(total)], pa.binary())})
-
-    parts = docs.select(text).mapInArrow(count, "slice int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
-    some = parts.groupBy("slice", "part").applyInArrow(add, "slice int, sums binary")
-    out = np.zeros(size, np.int64)
-    for r in some.groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():  # 2^BITS sums at most
-        unpack(r["sums"], out[r["slice"] * (size // _SLICES) : (r["slice"] + 1) * (size // _SLICES)])
-    return out
-
-
 def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """The inverse document frequency of each slot, over all rows, in two passes: sizes of crowds, then shingles."""
     spark = docs.sparkSession
 
-    def crowded(part) -> tuple[np.ndarray, np.ndarray]:
-        _, slots = crowd_slots(part)
+    def crowded(batch) -> tuple[np.ndarray, np.ndarray]:
+        _, slots = crowd_slots(batch.column(text))
         return slots.reshape(-1), np.full(slots.size, ONE, np.int64)
 
-    crowds = counted(docs, text, crowded)
+    crowds = counted(docs.select(text), text, crowded, BITS)
     shared = spark.sparkContext.broadcast(crowds)
 
-    def weighed(part) -> tuple[np.ndarray, np.ndarray]:
-        h, _, first = shingles(part)
-        return bucket(h), np.repeat(crowd_weights(part, shared.value), np.diff(first))
+    def weighed(batch) -> tuple[np.ndarray, np.ndarray]:
+        h, _, first = shingles(batch.column(text))
+        return bucket(h), np.repeat(crowd_weights(batch.column(text), shared.value), np.diff(first))
 
-    df = counted(docs, text, weighed)
+    df = counted(docs.select(text), text, weighed, BITS)
     return inverse(df / ONE, crowds.sum() / ONE / CROWD_BANDS)
 
 

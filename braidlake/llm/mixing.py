@@ -53,8 +53,8 @@ def offset_of(source: str | None, seed: str = SEED) -> float:
     return int(hashlib.md5(f"{seed}|{'n' if source is None else 's' + source}".encode()).hexdigest()[:13], 16) / 16**13
 
 
-def mix(docs: DataFrame, size: str, source: str = "source", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, names: tuple[str, str, str] = ("source_size", "target", "copies")) -> DataFrame:
-    """docs with source_size, target and copies, under these names, which no column of docs may have.
+def mix(docs: DataFrame, size: str, source: str = "source", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """docs with source_size, target and copies as last columns; where docs has such a name, the new one takes _ before it.
 
     Within a source the documents stand by the magnitude of their size, so that the sample is spread over
     short and long ones. The prefix sum of expected copies (target / source size) is rank times that rate;
@@ -64,6 +64,7 @@ def mix(docs: DataFrame, size: str, source: str = "source", id_col: str = "doc_i
     Rows that are equal stay apart. The driver holds a total for each source, nothing for each document.
     """
     spark = docs.sparkSession
+    names = fresh(docs.columns, "source_size", "target", "copies")
     key, coarse, cell, rank, rate, shift = fresh([*docs.columns, *names], "mix_key", "mix_bin", "mix_cell", "mix_rank", "mix_rate", "mix_shift")
     keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
     totals = keyed.groupBy(key).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, size: str, source: str = "source", id_col: str = "doc_i
     ranked = rank_within(keyed, key, coarse, cell, [size, id_col], rank).join(plan, key)
     at = lambda x: F.floor(x * F.col(rate) + F.col(shift))
     copies = (at(F.col(rank) + 1.0) - at(F.col(rank).cast("double"))).cast("int")
-    return ranked.select(*(F.col(c) for c in docs.columns), names[0], names[1], copies.alias(names[2]))
+    return ranked.select(*(F.col(f"`{c}`") for c in docs.columns), names[0], names[1], copies.alias(names[2]))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import table
+from braidlake.llm.common import schema_of, table
 from braidlake.llm.toxicity import held_out, sample
 from braidlake.llm.words import blocks, mix64, text_bytes, word_hashes
 
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
 
 def _map(docs: DataFrame, text: str, columns: list[str], name: str, kind: str, make) -> DataFrame:
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + f", `{name}` {kind}"
+    schema = f"{schema_of(docs, columns)}`{name}` {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +203,7 @@ def feature_column(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def score_column(docs: DataFrame, text: str, model: Model, columns: list[str], name: str = "score") -> DataFrame:
-    """The columns with the score of each whole text; null is scored as empty."""
+    """The columns with the score of each whole text, under a name that none of them may have; null is scored as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return _map(docs, text, columns, name, "double", lambda x: pa.array(shared.value.score(x)))
 
@@ -212,8 +212,9 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -
     """(doc_id, held_out, score, predicted) of each row of docs(doc_id, text); learns from the other folds' labels alone.
 
     Null texts count as empty, whose features are all 0; equal texts get equal scores; repeated rows a row
-    each; without labels all scores are 0.5, with one class alone all are on its side; an empty table
-    gives no rows.
+    each; a null doc_id is of the fold of an empty one, and never learnt from; without labels all scores
+    are 0.5, with one class alone all are on its side; an empty table gives no rows. Only the named
+    columns are read, so others may have any names.
     """
     model = train(docs.where(~held_out(F.col("doc_id"), folds, fold)), labels.where(~held_out(F.col("doc_id"), folds, fold)))
     scored = score_column(docs, "text", model, ["doc_id"])

@@ -35,4 +35,4 @@ def rank_within(df: DataFrame, key: str, coarse: str, cell: str, order: list[str
     before = before.select(key, coarse, cell, (F.col(in_cell) + F.col(in_coarse)).alias(in_cell))
     ranked = df.withColumn(r, F.row_number().over(Window.partitionBy(key, coarse, cell).orderBy(*order)))
     out = ranked.join(before, [key, coarse, cell])
-    return out.select(*(F.col(c) for c in df.columns), (F.col(in_cell) + F.col(r) - 1).cast("long").alias(name))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(in_cell) + F.col(r) - 1).cast("long").alias(name))

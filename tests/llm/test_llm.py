@@ -89,7 +89,13 @@ def test_nnpu_on_planted_words():
     r = random.Random(1)
     plain = lambda: " ".join(r.choice("alpha beta gamma delta epsilon zeta".split()) + str(r.randint(0, 50)) for _ in range(60))
     bad = lambda: plain() + " vile rotten " + plain()
-    model = toxicity.fit([bad() for _ in range(150)], [bad() for _ in range(30)] + [plain() for _ in range(270)], 0.1)
+    sets = [[bad() for _ in range(150)], [bad() for _ in range(30)] + [plain() for _ in range(270)]]
+    seen = []
+    for texts in sets:
+        f, o = toxicity.hashed(*words.text_bytes(pa.array(texts)))
+        seen.append(np.bincount(np.unique(o << toxicity.BITS | f) & ((1 << toxicity.BITS) - 1), minlength=1 << toxicity.BITS))
+    best = toxicity.choose(*seen, 150, 300)
+    model = toxicity.fit(best, *(toxicity.presence(best, *words.text_bytes(pa.array(t))) for t in sets), 0.1)
     score = lambda texts: model.score(*words.text_bytes(pa.array(texts)))
     assert (score([bad() for _ in range(50)]) >= 0.5).mean() > 0.9 and (score([plain() for _ in range(100)]) < 0.5).all()
 
@@ -152,14 +158,15 @@ def test_bpe_query(odd, none):
 # 4
 
 def test_media(odd, none):
-    got = by_id(audio.media_columns(odd, "text", ["doc_id"], keep_media=True), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors")
+    got = by_id(audio.media_columns(odd, "text", ["doc_id"], keep_media=True), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors", "spans")
     for i, text in ((1, ""), (4, "one two three four five six seven"), (6, LONG), (8, "日本語 🎉 é")):
-        n, size, sha, crc, media_n, media_sha, _, media, tensors = got[i]
+        n, size, sha, crc, media_n, media_sha, feature, media, tensors, spans = got[i]
         payload = text.encode() + bytes(-len(text.encode()) % 64 or (0 if text else 64))
         assert (n, size, sha, crc) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert bytes(media)[-len(payload) :] == payload and media_n == len(media) and media_sha == hashlib.sha256(media).hexdigest()
         t, seconds = audio.from_arrow(bytes(tensors))
         assert t.shape[1:] == (audio.SPANS, audio.MELS) and len(t) == len(seconds) >= 1 and np.isfinite(t).all() and (seconds[:, 0] < seconds[:, 1]).all()
+        assert [tuple(x) for x in spans] == [tuple(x) for x in seconds.tolist()] and feature == f"{audio.SPANS}x{audio.MELS}:{hashlib.sha256(bytes(tensors)).hexdigest()}"
     assert got[1][2:7] == got[2][2:7] and got[4] == got[5] and audio.media_columns(none, "text", ["doc_id"]).count() == 0
 
 
@@ -513,9 +520,10 @@ def test_overlapping_licenses(spark):
 # 10
 
 def test_mixing(spark, odd, none):
-    sized = mixing.with_word_count(odd.drop("size"), "text", "size")
-    got = mixing.mix(sized.drop("Copies"), "size").collect()
-    assert len(got) == 10 and {r["source"] for r in got} == {None, "a", "b", "c"} and all(0 <= r["copies"] <= 2 for r in got)
+    mixed = mixing.mix(mixing.with_word_count(odd, "text", "n_words"), "n_words")
+    got = mixed.collect()
+    assert mixed.columns == [*odd.columns, "n_words", "source_size", "target", "_copies"]
+    assert len(got) == 10 and {r["source"] for r in got} == {None, "a", "b", "c"} and all(0 <= r["_copies"] <= 2 and r["Copies"] == 1 for r in got)
     assert mixing.mix(mixing.with_word_count(none, "text", "size"), "size").count() == 0
     r = random.Random(2)
     docs = spark.createDataFrame([(i, " ".join("w" * r.randint(1, 60)), f"s{min(i % 9, 4)}") for i in range(3000)], "doc_id long, text string, source string")
@@ -550,11 +558,67 @@ def test_pipeline(spark, sf, tmp_path):
 
     got = corpus_pipeline.run(spark, sf).toPandas()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert 0 < len(got) and set(got.doc_id) <= {r[0] for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        kept = stage(spark, docs, sf)
-        assert name == "byte-level BPE" or kept.columns == docs.columns
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0
-    assert math.isclose(got.n_tokens.sum(), got.n_tokens.astype(float).sum())
+    # The stages one after another, the decisions of each made anew by plainer means.
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scored = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"))
+    good = [i for i in sorted(text) if scored.score(quality.features(*words.text_bytes(pa.array([text[i]]))))[0] >= 0.5]
+    label = brute_force_classes([text[i] for i in good])
+    kept = [i for k, i in enumerate(good) if label[k] == k]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")).ranks, special_tokens={})
+    clean = by_id(pii.replace_pii(docs.where(F.col("doc_id").isin(kept)), "text"), "text", "source")
+    sizes = {i: len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t) if w]) for i, (t, _) in clean.items()}
+    of = Counter()
+    for i, (_, source) in clean.items():
+        of[source] += sizes[i]
+    goal, taken, times = mixing.targets(list(of.items())), Counter(), Counter(got.doc_id)
+    assert set(times) <= set(kept) and max(times.values()) <= 2
+    for i, (_, source) in clean.items():
+        taken[source] += sizes[i] * times[i]
+    assert all(abs(taken[s] - goal[s]) <= 0.1 * goal[s] + max(sizes.values()) for s in of)
+    for r in got.itertuples():
+        ids = enc.encode_ordinary(clean[r.doc_id][0])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(clean[r.doc_id][0].encode()).hexdigest())
+
+
+CLASHES = ("score", "n_tokens", "IDS_sha256", "target", "copies", "license", "dice", "n_bytes", "Feature", "spans", "shard", "size", "text_key", "quality_score", "rep", "key", "id")
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "near duplicates", "personal data", "source mix", "byte-level BPE"])
+def test_stages_with_clashing_columns(spark, sf, odd, none, name):
+    """Columns with the names that the operators give: all stay as they are, and the rows are those without them."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    more = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(k).alias(c) for k, c in enumerate(CLASHES)))
+    got = stage(spark, more, sf)
+    plain = stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), sf)
+    assert rows(got.select(*plain.columns).toPandas()) == rows(plain.toPandas())
+    if name != "byte-level BPE":
+        assert got.columns == more.columns and {tuple(r[c] for c in CLASHES) for r in got.collect()} == {tuple(range(len(CLASHES)))}
+        assert stage(spark, none, sf).columns == none.columns
+    assert stage(spark, none, sf).count() == 0
+
+
+def test_operators_with_clashing_columns(spark, odd, none):
+    more = odd.select("doc_id", "text", "source", *(F.lit(k).alias(c) for k, c in enumerate(CLASHES)))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    runs = [
+        lambda d, c: bpe.bpe(d, "text", path, public_tokenizers.PATTERN, c), lambda d, c: audio.media_columns(d, "text", c, keep_media=True),
+        lambda d, c: licenses.scan_licenses(d, "text", c), lambda d, c: mixing.mix(mixing.with_word_count(d.select(*c, "text"), "text", "mix_n"), "mix_n"),
+        lambda d, c: sharding.assign(d.withColumn("own_group", F.coalesce("text", F.lit(""))).withColumn("own_size", F.lit(1)), "own_group", "own_size"),
+    ]
+    for run in runs:
+        got = run(more, ["doc_id", "source", *CLASHES])
+        plain = run(odd.select("doc_id", "text", "source"), ["doc_id", "source"])
+        assert len({c.lower() for c in got.columns}) == len(got.columns)
+        strip = lambda d: [c for c in d.columns if c not in CLASHES and c not in ("doc_id", "source", "text")]
+        a = rows(got.select(*strip(got)).toDF(*(c.lstrip("_") for c in strip(got))).toPandas())
+        b = rows(plain.select(*(c for c in plain.columns if c.lstrip("_") in {x.lstrip("_") for x in strip(got)})).toPandas())
+        assert a == b and {tuple(r[c] for c in CLASHES) for r in got.collect()} == {tuple(range(len(CLASHES)))}
+    assert {r["held_out"] for r in toxicity.toxicity(odd.where("doc_id IS NULL").select("doc_id", "text"), none.select("doc_id", F.lit(1).alias("toxic"))).collect()} == {True}
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (got[got.toxic == 1].predicted == 1).mean() > 0.8 and (got[got.toxic == 0].predicted == 0).mean() > 0.94
