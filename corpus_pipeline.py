@@ -39,20 +39,22 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for the personal data in their texts; null and empty texts stay."""
     return pii.replace_pii(docs, "text").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in copies of its row."""
     prepare(spark)
-    size, *names = fresh(docs.columns, "mix_size", "source_size", "target", "copies")
-    mixed = mixing.mix(mixing.with_word_count(docs, "text", size), size, names=tuple(names))
-    copies = names[-1]
+    (size,) = fresh(docs.columns, "mix_size")
+    mixed = mixing.mix(mixing.with_word_count(docs, "text", size), size)
+    copies = mixed.columns[-1]
     (copy,) = fresh(mixed.columns, "copy")
     return mixed.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes, a row for each row of docs."""
     prepare(spark)
     return bpe.bpe(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
 
