@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over hashed words and byte 5-grams is trained with numpy from confirmed toxic texts (P)
-and unlabelled ones (U). With pi the class prior, the risk is pi R_P(+) + max(0, R_U(-) - pi R_P(-)): U's
+and unlabelled ones (U). With pi the class prior, the risk is COST pi R_P(+) + max(0, R_U(-) - pi R_P(-)): U's
 loss as negatives, less what the positives in it add; where that falls below 0, which only overfitting
 can cause, the step goes the other way along it.
 """
@@ -21,6 +21,8 @@ from braidlake.llm.words import LOWER, blocks, mix64, text_bytes, word_hashes
 
 #: Confirmed texts, and unlabelled ones, both of labelled rows, that are fitted at most: those with the lowest hash of their id.
 SAMPLE, UNLABELLED = 1500, 6000
+#: What a toxic text that is missed costs, against 1 for a false alarm.
+COST = 2.0
 BITS = 20
 #: Features that are kept, by how far they set P apart from U.
 FEATURES = 1000
@@ -99,7 +101,7 @@ def fit(features: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prio
         zp, zu = xp @ w + bias, xu @ w + bias
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        plus = -prior * (1 - sp) / p  # slope of pi R_P(+)
+        plus = -COST * prior * (1 - sp) / p  # slope of COST pi R_P(+)
         minus_p, minus_u = -prior * sp / p, su / u  # slopes of R_U(-) - pi R_P(-)
         gp, gu = (plus + minus_p, minus_u) if negative >= 0 else (-minus_p, -minus_u)
         g = np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + ridge * w, gp.sum() + gu.sum())
