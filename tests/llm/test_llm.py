@@ -261,6 +261,49 @@ def test_pii(spark, odd, none):
     assert other != got[0][0]
 
 
+def test_pii_coreference_and_distinctness(spark, monkeypatch):
+    """Documents of random values and names, first in full and then alone: in each, the replacement is one function of the value, and no two values meet."""
+    r = random.Random(7)
+    given, last = pii.GIVEN["f"][:8] + pii.GIVEN["m"][:8], [*pii.SURNAMES[:10], "Ab", "Eb", "Ob", "Ub", "Ib", "O'Brien", "Kane-Smith", "Müller"]
+    docs = []
+    for _ in range(60):
+        people = [(r.choice(given), r.choice(last)) for _ in range(r.randint(1, 6))]
+        cells = [f"{g} {n}" if r.random() < 0.5 else f"{r.choice(['Mr', 'Mrs.', 'Dr', 'Prof.'])} {g} {n}" for g, n in people]
+        cells += [r.choice(p) for p in people for _ in range(3)]
+        cells += [f"10.0.{r.randint(0, 2)}.{r.randint(0, 9)}" for _ in range(r.randint(0, 6))] + [f"{r.choice('abc')}@{r.choice('abc')}.example.org" for _ in range(r.randint(0, 6))] + [f"20{r.randint(10, 12)}:db8::{r.randint(1, 20)}" for _ in range(r.randint(0, 4))]
+        docs.append(" | ".join(cells))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for i, (new, n, collisions) in by_id(pii.replace_pii(df, "text", details=True), "text", "n_entities", "collisions").items():
+        a, b = docs[i].split(" | "), new.split(" | ")
+        titled = lambda x: __import__("re").sub(r"^(Mr|Mrs|Dr|Prof)\.? ", "", x)
+        units = lambda x: titled(x).split(" ") if "@" not in x and ":" not in x else [x]
+        pairs = {(x, y) for c, d in zip(a, b, strict=True) for x, y in zip(units(c), units(d), strict=True)}
+        assert len(a) == len(b) == n and collisions == 0
+        assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs) and not {x for x, _ in pairs} & {y for _, y in pairs}
+
+
+def test_pii_collisions_are_parted(spark):
+    """Surrogates that meet, or are values of the document, come under the next key."""
+    make = lambda item, key: F.when(key == "k", F.lit("same")).otherwise(F.concat(item, key))
+    df = spark.createDataFrame([(["x", "y", "z"],)], "v array<string>")
+    got = df.select(pii._apart(F.col("v"), lambda e: e, make, F.concat("v", F.array(F.lit("yk#1"))), "k").alias("m")).first()["m"]
+    assert [tuple(x) for x in got] == [("x", "same"), ("y", "yk#2"), ("z", "zk#1")]
+
+
+def test_pii_numbers(spark):
+    text = "IBAN DE89370400440532013000, not DE88370400440532013000; 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a"
+    new = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text").first()["text"]
+    good, bad = new.split()[1].rstrip(","), new.split()[3].rstrip(";")
+    by_97 = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert by_97(good) == 1 and good[:2] == bad[:2] == "DE" and good[4:] != "370400440532013000" and bad[:4] == "DE88" and bad[4:] == good[4:]
+    import ipaddress
+
+    one, two = new.split()[4], new.split()[6]
+    assert ipaddress.ip_address(one) != ipaddress.ip_address(text.split()[4]) and ipaddress.ip_address(two).version == 6
+    plain = "std::vector a::b at 10:30:45 and 12:00; Max said Grace Hopper; ratio 3:4:5"
+    assert pii.replace_pii(spark.createDataFrame([(1, plain)], "doc_id long, text string"), "text").first()["text"] == plain
+
+
 def test_pii_leaves_plain_text(spark, sf):
     docs = spark.createDataFrame([(1, "Version 2.0, page 12 of 300; tokens: many. 3.5 km at 10:30")], "doc_id long, text string")
     assert pii.replace_pii(docs, "text").first()["text"] == docs.first()["text"]
