@@ -34,7 +34,7 @@ ONE = 1 << 20
 #: Shingles of some such number of crowds weigh nearly as much as those of one.
 SMOOTH = 16.0
 #: Texts, and bytes of text, in a block of a large bucket; two blocks meet in a task.
-BLOCK, BLOCK_BYTES = 1024, 1 << 23
+BLOCK, BLOCK_BYTES = 512, 1 << 21
 #: Shingles in a dense matrix at once, and texts with a shingle up to which it is not worth one.
 DENSE, RARE = 4096, 16
 #: Bits of the map of texts that are looked up.
@@ -336,7 +336,9 @@ def linked(texts, label: np.ndarray, place: np.ndarray, idf: np.ndarray, similar
     rows, cols = np.flatnonzero(place == place.min()), np.flatnonzero(place == place.max())
     if len(np.unique(root)) < 2:
         return []
-    h, count, first = shingles(texts)
+    parts = [shingles(part) for _, part in blocks(texts, 1 << 18)]
+    h, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     w = weights(h, count, idf)
     total = np.bincount(np.repeat(np.arange(len(first) - 1), np.diff(first)), w, len(first) - 1)
     share = shared_weight(h, count, first, idf, rows, cols)
