@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+import queue
 import threading
 import time
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from braidlake.errors import RequestError
 from braidlake.gql import schema as sdl
 from braidlake.gql.execute import Executor
-from braidlake.gql.parser import parse
+from braidlake.gql.parser import Document, Operation, parse
 from braidlake.gql.validate import Limits, check, check_batch
+from braidlake.operators.metadata import metadata
 from braidlake.operators.search import ranked
 from braidlake.plans.connection import Connection, Page
 from braidlake.plans.predicates import Scope
 from braidlake.sources.catalog import Catalog
 from braidlake.streaming import changes as feeds
 
+#: Seconds that requests are counted by.
+BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
 
 @dataclass(frozen=True)
 class Options:
-    """query_limit: rows of a page at most, and by default. unsafe: no default limit and no request limits."""
+    """query_limit: rows of a page at most, and by default. group_limit: groups of one answer at most. unsafe: no default
+    limit and no request limits, so a request may bring whole tables. point_argument: None: as the metadata tell."""
 
     query_limit: int = 100
+    group_limit: int = 10_000
     unsafe: bool = False
     aggregates: bool = True
     historical: bool = True
-    point_argument: str = "blockHeight"
+    point_argument: str | None = "blockHeight"
     timeout_s: float | None = 10.0
     limits: Limits = Limits()
 
@@ -41,8 +49,11 @@ class Options:
 class Engine:
     def __init__(self, catalog: Catalog, options: Options | None = None, external_metadata: Callable[[], dict] | None = None):
         self.catalog, self.options, self.external_metadata = catalog, options or Options(), external_metadata
+        if self.options.point_argument is None:
+            told = metadata(catalog, wanted=set()) or {}
+            self.options = replace(self.options, point_argument="timestamp" if told.get("historicalStateEnabled") == "timestamp" else "blockHeight")
+        #: requests, errors, ms, and le_<seconds>: requests that took so long at most.
         self.metrics: Counter = Counter()
-        self.expected = len(catalog.entities)
         self.closing = False
 
     @property
@@ -66,9 +77,20 @@ class Engine:
         return feeds.enriched(feeds.changes(feed, ids, kinds), self.scope(entity))
 
     def refresh(self) -> None:
-        """Reads the schemas again. Requests that run keep the snapshot they began with."""
+        """Reads the tables' list and schemas again. Requests that run keep the snapshot they began with."""
         self.catalog = self.catalog.refresh()
-        self.expected = len(self.catalog.entities)
+
+    def follow(self, notices: DataFrame, column: str = "value"):
+        """A running query that refreshes the catalog for each batch of a text stream in which a line says schema_updated."""
+        said = notices.where(F.col(column).cast("string").contains("schema_updated"))
+        return said.writeStream.foreachBatch(lambda batch, _: None if batch.isEmpty() else self.refresh())
+
+    def subscribe(self, query: str, feeds_of: dict[str, DataFrame], variables: dict | None = None, operation: str | None = None) -> DataFrame:
+        """A GraphQL subscription as a DataFrame with a column `payload`, a JSON answer for each change; a stream where the entity's feed is one."""
+        doc = parse(query)
+        op = self._operation(doc, operation)
+        check(doc, op, Limits() if self.options.unsafe else self.options.limits)
+        return Executor(self, self.catalog, doc, op, variables or {}).subscription(feeds_of)
 
     # GraphQL
 
@@ -79,11 +101,9 @@ class Engine:
         cost = None
         try:
             doc = parse(query)
-            ops = [o for o in doc.operations if operation in (None, o.name)]
-            if len(ops) != 1:
-                raise RequestError("the document has several operations; name one" if ops else f"no operation {operation!r}")
-            cost = check(doc, ops[0], Limits() if self.options.unsafe else self.options.limits)
-            data = self._timed(lambda: Executor(self, catalog, doc, ops[0], variables or {}).run())
+            op = self._operation(doc, operation)
+            cost = check(doc, op, Limits() if self.options.unsafe else self.options.limits)
+            data = self._timed(lambda: Executor(self, catalog, doc, op, variables or {}).run())
             out = {"data": data}
         except RequestError as e:
             self.metrics["errors"] += 1
@@ -91,9 +111,18 @@ class Engine:
         except (PySparkException, Py4JJavaError) as e:
             self.metrics["errors"] += 1
             out = {"data": None, "errors": [{"message": "db error: " + str(e).splitlines()[0]}]}
-        self.metrics["ms"] += int((time.monotonic() - began) * 1000)
+        took = time.monotonic() - began
+        self.metrics["ms"] += int(took * 1000)
+        self.metrics.update(f"le_{b:g}" for b in BUCKETS if took <= b)
         return out | ({"extensions": {"complexity": cost}} if cost is not None else {})
 
+    @staticmethod
+    def _operation(doc: Document, operation: str | None) -> Operation:
+        ops = [o for o in doc.operations if operation in (None, o.name)]
+        if len(ops) != 1:
+            raise RequestError("the document has several operations; name one" if ops else f"no operation {operation!r}")
+        return ops[0]
+
     def batch(self, requests: list[dict]) -> list[dict]:
         """Requests of a batch, one after another."""
         if not self.options.unsafe:
@@ -127,19 +156,32 @@ class Engine:
         return sdl.sdl(self.catalog, self.options)
 
     def health(self) -> dict:
-        """healthy; degraded: tables came or went since the schema was built; unhealthy: they can't be read."""
+        """healthy; degraded: tables came, went or changed since the schema was built; unhealthy: they can't be read."""
         if self.closing:
             return {"status": "shutting down"}
         try:
-            now = len(self.catalog.refresh().entities)
+            changed = self.catalog.drift()
         except PySparkException as e:
             return {"status": "unhealthy", "reason": str(e).splitlines()[0]}
-        return {"status": "healthy" if now == self.expected else "degraded", "tables": now}
-
-
-def poll(query, seconds: float) -> Iterator[dict]:
-    """Progress of a streaming query until it ends or the time is over."""
-    end = time.monotonic() + seconds
-    while query.isActive and time.monotonic() < end:
-        yield query.lastProgress or {}
-        time.sleep(0.1)
+        out = {"status": "degraded" if changed else "healthy", "tables": len(self.catalog.entities)}
+        return out | ({"changed": changed} if changed else {})
+
+
+def payloads(subscription: DataFrame, checkpoint: str, seconds: float, once: bool = False) -> Iterator[str]:
+    """Payloads of a streaming subscription as they come, until the time is over (once: until what is there now is done)."""
+    got: queue.Queue = queue.Queue(64)
+
+    def give(batch: DataFrame, _) -> None:
+        for r in batch.toLocalIterator():
+            got.put(r["payload"])
+
+    writer = subscription.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint)
+    running, end = (writer.trigger(availableNow=True) if once else writer).start(), time.monotonic() + seconds
+    try:
+        while time.monotonic() < end and (running.isActive or not got.empty()):
+            try:
+                yield got.get(timeout=0.1)
+            except queue.Empty:
+                continue
+    finally:
+        running.stop()

@@ -7,7 +7,9 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidlake.errors import RequestError
 from braidlake.functions import codec, naming
@@ -19,6 +21,7 @@ from braidlake.operators.aggregates import group_key
 from braidlake.plans.connection import Connection, Fetched, Page, cursor_value
 from braidlake.plans.predicates import Scope, predicate
 from braidlake.sources.catalog import Entity, Relation
+from braidlake.streaming import changes
 
 _PAGE = ("first", "last", "after", "before", "offset")
 
@@ -101,9 +104,46 @@ class Executor:
 
     def run(self) -> dict:
         if self.op.kind != "query":
-            raise RequestError(f"{self.op.kind} operations aren't executed here; changes() gives streams")
+            raise RequestError(f"{self.op.kind} operations have no single answer; subscribe() gives their stream")
         return self.root(self.op.selection)
 
+    def subscription(self, feeds: dict) -> DataFrame:
+        """The changes of one entity that the arguments ask for, each with the selected fields as the JSON of an answer."""
+        fields = self.fields(self.op.selection, ("Subscription",)) if self.op.kind == "subscription" else []
+        if len(fields) != 1:
+            raise RequestError("a subscription has one field")
+        f, a = fields[0], self.arguments(fields[0])
+        name = self.catalog.by_connection.get(f.name)
+        if name is None or not self.catalog.entity(name).declared.key:
+            raise RequestError(f"Subscription has no field {f.name!r}")
+        if name not in feeds:
+            raise RequestError(f"there is no feed of {name}")
+        scope = self.scope(name, {})
+        as_list = lambda v: v if isinstance(v, list) or v is None else [v]
+        ids = as_list(a.get("id"))
+        rows = changes.enriched(changes.changes(feeds[name], [str(i) for i in ids] if ids is not None else None, as_list(a.get("mutation"))), scope)
+        e, made = scope.entity, []
+        for x in self.fields(f.selection, (f"{e.type_name}SubscriptionPayload",)):
+            if x.name == "__typename":
+                made.append(F.lit(f"{e.type_name}SubscriptionPayload").alias(x.alias))
+            elif x.name in ("id", "mutation_type"):
+                made.append(F.col(x.name).alias(x.alias))
+            elif x.name == "_entity":
+                row = F.from_json("_entity", T.StructType([e.schema[c] for c in e.columns]))
+                inner = []
+                for y in self.fields(x.selection, (e.type_name,)):
+                    if y.name == "__typename":
+                        inner.append(F.lit(e.type_name).alias(y.alias))
+                    else:
+                        c = e.column(y.name)
+                        text = isinstance(e.kind(c), (T.LongType, T.DecimalType))
+                        inner.append((row[c].cast("string") if text else row[c]).alias(y.alias))
+                made.append(F.when(F.col("_entity").isNotNull(), F.struct(*inner)).alias(x.alias))
+            else:
+                raise RequestError(f"{e.type_name}SubscriptionPayload has no field {x.name!r}")
+        answer = F.struct(F.struct(F.struct(*made).alias(f.alias)).alias("data"))
+        return rows.select(F.to_json(answer, {"ignoreNullFields": "false"}).alias("payload"))
+
     def root(self, selection: list) -> dict:
         out = {}
         for f in self.fields(selection, ("Query", "Node")):
@@ -120,6 +160,8 @@ class Executor:
             return self.root(f.selection)
         if f.name == "nodeId":
             return codec.encode(["query"])
+        if f.name == "_bigIntFilters":
+            return None
         if f.name == "_metadata":
             return self.metadata(f, a)
         if f.name == "_metadatas":
@@ -207,7 +249,7 @@ class Executor:
             elif x.name == "aggregates" and self.engine.options.aggregates:
                 jobs[x.alias] = lambda x=x: self.aggregates(scope, request, x)
             elif x.name == "groupedAggregates" and self.engine.options.aggregates:
-                jobs[x.alias] = lambda x=x: self.groups(scope, x, lambda keys, wanted: request.grouped(keys, wanted).collect())
+                jobs[x.alias] = lambda x=x: self.groups(scope, x, lambda keys, wanted: self.bounded(request.grouped(keys, wanted)))
         done = self.side_by_side(jobs)
         out, fetched = {}, done.pop("", None)
         for x in fields:
@@ -229,6 +271,16 @@ class Executor:
         wanted, shape = self.aggregate_shape(scope, f)
         return self.aggregate_row(scope, shape, request.aggregates(wanted).first() if wanted else None)
 
+    def bounded(self, groups: DataFrame) -> list:
+        """The groups on the driver; more than the limit are an error, not cut off."""
+        if self.engine.options.unsafe:
+            return groups.collect()
+        most = self.engine.options.group_limit
+        got = groups.limit(most + 1).collect()
+        if len(got) > most:
+            raise RequestError(f"there are more than {most} groups; group by less, or filter")
+        return got
+
     def side_by_side(self, jobs: dict) -> dict:
         """Results of the functions, each in a thread of its own if there are several; job tags go along."""
         if len(jobs) < 2:
@@ -313,7 +365,10 @@ class Executor:
     def complete(self, scope: Scope, schema, rows: list, selection: list | None) -> list[dict]:
         e = scope.entity
         out: list[dict] = [{} for _ in rows]
-        for f in self.fields(selection, (e.type_name, "Node")):
+        fields = self.fields(selection, (e.type_name, "Node"))
+        # Relations of a level don't need each other.
+        related = self.side_by_side({f.alias: lambda f=f: self.relation(scope, e.relations[f.name], f, rows) for f in fields if f.name in e.relations and f.name not in e.fields})
+        for f in fields:
             if f.name == "__typename":
                 made = [e.type_name] * len(rows)
             elif f.name == "nodeId":
@@ -322,7 +377,7 @@ class Executor:
                 c = e.fields[f.name]
                 made = [wire(r[c], e.kind(c), e.declared.scalars.get(c)) for r in rows]
             else:
-                made = self.relation(scope, e.relations[f.name], f, rows)
+                made = related[f.alias]
             for o, m in zip(out, made, strict=True):
                 o[f.alias] = m
         return out
@@ -347,27 +402,34 @@ class Executor:
         page, size = request.page, request.page.size(self.engine.limit)
         by_parent: dict = defaultdict(list)
         order, schema = [], None
-        if keys and any(x.name in ("nodes", "edges", "pageInfo") for x in fields):
+        totals, aggs, groups = {}, {}, {}
+
+        def page_rows() -> None:
+            nonlocal order, schema
             cursor = codec.decode(page.after or page.before, dict) if page.after or page.before else None
             df, terms, _ = relations.children(scope, r, keys, request.where, request.order, request.nulls, a.get("distinct") and [d.upper() for d in request.distinct], page, request.select, self.engine.limit, 1, cursor)
             schema, order = df.schema, [t.column for t in terms]
             for row in sorted(df.collect(), key=lambda x: x["__rank"]):
                 by_parent[row[relations.PARENT]].append(row)
-        totals, aggs, groups = {}, {}, {}
-        for x in fields:
-            if x.name == "totalCount" and keys:
-                totals = {t[0]: t[1] for t in relations.counts(scope, r, keys, request.where).collect()}
-            elif x.name == "aggregates" and keys and self.engine.options.aggregates:
+
+        def figures(x: Field) -> None:
+            if x.name == "totalCount":
+                totals.update((t[0], t[1]) for t in relations.counts(scope, r, keys, request.where).collect())
+            elif x.name == "aggregates":
                 wanted, _ = self.aggregate_shape(request.scope, x)
                 aggs[x.alias] = {t[relations.PARENT]: t for t in relations.child_aggregates(scope, r, keys, wanted, request.where)[0].collect()} if wanted else {}
-            elif x.name == "groupedAggregates" and keys and self.engine.options.aggregates:
+            else:
                 items = self.arguments(x).get("groupBy") or []
                 wanted, _ = self.aggregate_shape(request.scope, x)
                 got = relations.child_aggregates(scope, r, keys, wanted, request.where, items)[0]
                 names = [c for c in got.columns if c != relations.PARENT][: len(items)]
                 groups[x.alias] = defaultdict(list)
-                for t in got.orderBy(*(F.col(n).asc_nulls_last() for n in names)).collect() if names else got.collect():
+                for t in self.bounded(got.orderBy(*(F.col(n).asc_nulls_last() for n in names)) if names else got):
                     groups[x.alias][t[relations.PARENT]].append(t)
+
+        jobs = {"": page_rows} if any(x.name in ("nodes", "edges", "pageInfo") for x in fields) else {}
+        jobs |= {x.alias: lambda x=x: figures(x) for x in fields if x.name == "totalCount" or x.name in ("aggregates", "groupedAggregates") and self.engine.options.aggregates}
+        self.side_by_side(jobs if keys else {})
         # All children of the level are completed at once, then dealt to their parents.
         flat = [row for k in keys for row in self.cut(by_parent[k], size, page)]
         made = {x.alias: self.complete(request.scope, schema, flat, x.selection) if x.name == "nodes" else self.edges(request.scope, x, schema, flat, order) for x in fields if x.name in ("nodes", "edges")}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from braidlake.errors import RequestError
 from braidlake.plans.predicates import Scope
 
-#: Decimal places that sums and means of doubles are computed in exactly; wider decimals keep their own.
+#: Sums and means of doubles are added up as they come, those of whole numbers and decimals exactly.
 _NUMERIC = {
     "sum": lambda c, k: F.sum(c),
     "average": lambda c, k: F.avg(c),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
 
 from braidlake import __version__
 from braidlake.functions import codec
@@ -53,6 +54,22 @@ def metadata(catalog: Catalog, chain: str | None = None, wanted: set[str] | None
     return out
 
 
+def service(url: str, timeout: float = 5.0) -> dict:
+    """Fields that a service tells under /meta and /health; what doesn't answer in time adds none. For an engine's external_metadata."""
+    out: dict = {}
+    for path in ("/health", "/meta"):
+        try:
+            with urllib.request.urlopen(url.rstrip("/") + path, timeout=timeout) as r:
+                got = json.loads(r.read())
+        except (OSError, ValueError):
+            continue
+        if isinstance(got, dict):
+            out |= {k: v for k, v in got.items() if k in FIELDS}
+        if path == "/health":
+            out["indexerHealthy"] = True
+    return out
+
+
 def metadatas(catalog: Catalog) -> dict:
     """A node for each metadata table; cursors are places."""
     names = sorted(catalog.metadata)

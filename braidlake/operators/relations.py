@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidlake.errors import RequestError
 from braidlake.operators import aggregates
 from braidlake.plans.connection import Page
-from braidlake.plans.ordering import beyond, with_order
+from braidlake.plans.ordering import Term, beyond, with_order
 from braidlake.plans.predicates import Scope, predicate
 from braidlake.sources.catalog import Relation
 
@@ -69,6 +69,7 @@ def children(scope: Scope, relation: Relation, keys: DataFrame | list, where: di
         columns = [by_item[d] for d in distinct]
         w = Window.partitionBy(PARENT, *columns).orderBy(*(t.sort() for t in terms))
         rows = rows.withColumn("__first", F.row_number().over(w)).where("__first = 1").drop("__first")
+        terms = [Term(c) for c in columns] + [t for t in terms if t.column not in columns]
     if page.backward:
         terms = [t.flipped() for t in terms]
     for values in ([cursors] if cursors else []):

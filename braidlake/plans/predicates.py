@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -86,8 +87,11 @@ def _values(value) -> list:
 def scalar_predicate(c: Column, kind: T.DataType, scalar: str, operators: dict, enum: tuple[str, ...] = ()) -> Column | None:
     """All operators of one field. Null operands are as if they weren't there, but for isNull, where null is true."""
     parts: list[Column] = []
-    if scalar in ("JSON", "Interval", "Point") and not isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
-        c, kind = F.to_json(c), T.StringType()
+    written = literal
+    if scalar == "JSON":
+        c, written = json_form(c if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)) else F.to_json(c)), json_literal
+    elif scalar in ("Interval", "Point") and isinstance(kind, T.StructType):
+        c, written = (interval_form(c, kind), interval_literal) if scalar == "Interval" else (point_form(c), point_literal)
     for name, value in operators.items():
         if name not in OPERATORS[scalar]:
             raise RequestError(f"{scalar} has no operator {name!r}")
@@ -102,7 +106,7 @@ def scalar_predicate(c: Column, kind: T.DataType, scalar: str, operators: dict,
             _check_enum(values, enum)
             negated, lower = name.startswith("not"), name.endswith("Insensitive")
             if values:
-                found = [F.lower(literal(v, kind)) if lower else literal(v, kind) for v in values]
+                found = [F.lower(written(v, kind)) if lower else written(v, kind) for v in values]
                 inside = (F.lower(c) if lower else c).isin(*found)
                 parts.append(~inside if negated else inside)
             elif not negated:
@@ -114,10 +118,52 @@ def scalar_predicate(c: Column, kind: T.DataType, scalar: str, operators: dict,
             parts.append(~found if name.startswith("not") else found)
         else:
             _check_enum([value], enum)
-            parts.append(_BINARY[name](c, literal(value, kind)))
+            parts.append(_BINARY[name](c, written(value, kind)))
     return all_of(parts)
 
 
+def json_form(text: Column) -> Column:
+    """JSON with its fields in order and without white space, numbers without trailing zeros; what is no JSON stays as it is."""
+    plain = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|(?<=[0-9])(\.[0-9]*[1-9])0+(?![0-9eE])|(?<=[0-9])\.0+(?![0-9eE])', "$1$2")
+    return F.coalesce(F.to_json(F.try_parse_json(plain)), text)
+
+
+def json_literal(value, kind: T.DataType) -> Column:
+    """A value, or a string that holds the JSON of an object or a list, as json_form."""
+    if isinstance(value, str) and value[:1] in ("{", "["):
+        return json_form(F.lit(value))
+    return json_form(F.lit(json.dumps(value)))
+
+
+_UNITS = ("years", "months", "days", "hours", "minutes", "seconds")
+
+
+def interval_form(c: Column, kind: T.StructType) -> Column:
+    """An interval's parts; those that it doesn't have are 0."""
+    return F.when(c.isNotNull(), F.struct(*((F.coalesce(c[u].cast("double"), F.lit(0.0)) if u in kind.names else F.lit(0.0)).alias(u) for u in _UNITS)))
+
+
+def interval_literal(value, kind: T.DataType) -> Column:
+    if not isinstance(value, dict) or set(value) - set(_UNITS) or not all(v is None or isinstance(v, (int, float)) and not isinstance(v, bool) for v in value.values()):
+        raise RequestError(f"{value!r} is no interval of {', '.join(_UNITS)}")
+    return F.struct(*(F.lit(float(value.get(u) or 0)).alias(u) for u in _UNITS))
+
+
+def point_form(c: Column) -> Column:
+    """A point as (x,y), whole numbers without a fraction."""
+    number = lambda x: F.regexp_replace(x.cast("double").cast("string"), r"\.0$", "")
+    return F.concat(F.lit("("), number(c["x"]), F.lit(","), number(c["y"]), F.lit(")"))
+
+
+def point_literal(value, kind: T.DataType) -> Column:
+    """A point as its text, or as {x, y}."""
+    if isinstance(value, str):
+        return F.lit(value.replace(" ", ""))
+    if not isinstance(value, dict) or set(value) != {"x", "y"} or not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in value.values()):
+        raise RequestError(f"{value!r} is no point")
+    return point_form(F.struct(F.lit(float(value["x"])).alias("x"), F.lit(float(value["y"])).alias("y")))
+
+
 def _check_enum(values: list, enum: tuple[str, ...]) -> None:
     if enum and (bad := [v for v in values if v not in enum]):
         raise RequestError(f"{bad[0]!r} is none of {', '.join(enum)}")
@@ -176,6 +222,13 @@ def predicate(scope: Scope, where: dict | None) -> Column | None:
     return all_of(parts)
 
 
+def has_relation(scope: Scope, where: dict | None) -> bool:
+    """Whether a filter object looks at other rows than the entity's own."""
+    inner = [m for name, value in (where or {}).items() if name in ("and", "or", "not") for m in _values(value or [])]
+    own = {*scope.entity.fields, "and", "or", "not"}
+    return any(name not in own for name in where or {}) or any(has_relation(scope, m) for m in inner)
+
+
 def _constant(where: dict | None) -> bool | None:
     """False for a filter that an empty `in` can never let pass."""
     for name, value in (where or {}).items():

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.engine import Engine, Options
+from braidlake.functions import codec
 from braidlake.operators import relations, search
 from braidlake.plans.connection import Page
 from braidlake.sources import samples
@@ -176,10 +177,10 @@ def total_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).connection("orders", {"oOrderstatus": {"equalTo": "F"}}, first=3, distinct=["O_CUSTKEY"]).total()
 
 
-@add("node_id", "SELECT c_custkey, base64(encode('[\"customer\",' || c_custkey || ']')) AS node_id FROM customer")
+@add("node_id", "SELECT c_custkey, base64(encode('[\"customer\",' || c_custkey || ']')) AS node_id FROM customer ORDER BY c_custkey LIMIT 100")
 def node_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engine(spark, sf_dir, "customer").connection("customer").filtered()
-    return rows.select("c_custkey", F.base64(F.concat(F.lit('["customer",'), F.col("c_custkey").cast("string"), F.lit("]")).cast("binary")).alias("node_id"))
+    nodes = engine(spark, sf_dir, "customer").graphql("{ customers(first: 100) { nodes { cCustkey nodeId } } }")["data"]["customers"]["nodes"]
+    return spark.createDataFrame([(int(n["cCustkey"]), n["nodeId"]) for n in nodes], "c_custkey long, node_id string")
 
 
 @add("edge_cursor", "SELECT o_orderkey, base64(encode('{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || '}')) AS edge_cursor FROM orders ORDER BY o_custkey, o_orderkey LIMIT 20")
@@ -192,7 +193,15 @@ def edge_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("single", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
 def single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).connection("orders", {"oOrderkey": {"equalTo": 42}}, select=["o_orderkey", "o_totalprice"], first=1).rows()[0]
+    got = engine(spark, sf_dir, "orders").graphql('{ order(oOrderkey: "42") { oOrderkey oTotalprice } }')["data"]["order"]
+    return spark.createDataFrame([(int(got["oOrderkey"]), got["oTotalprice"])] if got else [], "o_orderkey long, o_totalprice double")
+
+
+@add("node", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 3")
+def node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation", "region")
+    got = e.graphql(f'{{ node(nodeId: "{codec.node_id("nation", [3])}") {{ ... on Nation {{ nNationkey nName regionByNRegionkey {{ rName }} }} }} }}')["data"]["node"]
+    return spark.createDataFrame([(got["nNationkey"], got["nName"], got["regionByNRegionkey"]["rName"])], "n_nationkey int, n_name string, r_name string")
 
 
 @add("by_node_id", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
@@ -239,13 +248,8 @@ def rel_backward_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col(relations.PARENT).alias("c_custkey"), F.col("count").alias("n"), F.col("max_o_totalprice").alias("most"))
 
 
-@add("rel_m2m", "SELECT o_orderkey, p_partkey, rank FROM (SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_orderkey <= 1000) WHERE rank <= 2")
+@add("rel_m2m", "SELECT o_orderkey, p_partkey, rank FROM (SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))) WHERE rank <= 2")
 def rel_m2m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_parts(derived(spark, sf_dir).connection("orders", {"oOrderkey": {"lessThanOrEqualTo": 1000}}))
-
-
-@add("rel_m2m_all", "SELECT o_orderkey, p_partkey, rank FROM (SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))) WHERE rank <= 2")
-def rel_m2m_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_parts(derived(spark, sf_dir).connection("orders"))
 
 
@@ -254,13 +258,8 @@ def _first_parts(c) -> DataFrame:
     return df.select(F.col(relations.PARENT).alias("o_orderkey"), "p_partkey", F.col("__rank").cast("long").alias("rank"))
 
 
-@add("rel_nested", "SELECT c_custkey, o_orderkey, l_linenumber, l_quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey <= 20 AND l_quantity > 45")
+@add("rel_nested", "SELECT c_custkey, o_orderkey, l_linenumber, l_quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45")
 def rel_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _large_lines(engine(spark, sf_dir).connection("customer", {"cCustkey": {"lessThanOrEqualTo": 20}}))
-
-
-@add("rel_nested_all", "SELECT c_custkey, o_orderkey, l_linenumber, l_quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45")
-def rel_nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _large_lines(engine(spark, sf_dir).connection("customer"))
 
 
@@ -343,13 +342,8 @@ def change_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(feed, kinds=["INSERT", "DELETE"])
 
 
-@add("change_enriched", f"SELECT c.c_custkey::VARCHAR AS id, c.c_name FROM customer c WHERE c.c_custkey IN (SELECT user_id FROM events WHERE event_id <= 500 AND {_KIND} <> 'DELETE')")
+@add("change_enriched", f"SELECT c.c_custkey::VARCHAR AS id, c.c_name FROM customer c WHERE c.c_custkey IN (SELECT user_id FROM events WHERE {_KIND} <> 'DELETE')")
 def change_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id <= 500"))
-
-
-@add("change_enriched_all", f"SELECT c.c_custkey::VARCHAR AS id, c.c_name FROM customer c WHERE c.c_custkey IN (SELECT user_id FROM events WHERE {_KIND} <> 'DELETE')")
-def change_enriched_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
@@ -359,10 +353,64 @@ def _enriched(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     return got.where("_entity IS NOT NULL").select("id", F.get_json_object("_entity", "$.c_name").alias("c_name")).distinct()
 
 
-@add("metadata", "SELECT * FROM (SELECT 'customer' AS name, count(*) AS estimate FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'events', count(*) FROM events)")
+@add("metadata", "SELECT 'chain' AS field, 'main' AS value UNION ALL SELECT 'lastProcessedHeight', max(event_id)::VARCHAR FROM events UNION ALL SELECT 'rows of ' || name, n::VARCHAR FROM (SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'nation', count(*) FROM nation)")
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = engine(spark, sf_dir, "customer", "nation", "events").catalog.row_estimates()
-    return spark.createDataFrame(sorted(got.items()), "name string, estimate long")
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    table = lambda: read("events").select(F.lit("lastProcessedHeight").alias("key"), F.max("event_id").cast("string").alias("value")).unionByName(spark.createDataFrame([("chain", '"main"')], "key string, value string"))
+    names = ("customer", "nation", "events")
+    e = Engine(Catalog(spark, {n: (lambda n=n: read(n)) for n in names}, {}, {"_metadata": table}), Options(timeout_s=None))
+    got = e.graphql("{ _metadata { chain lastProcessedHeight rowCountEstimate { table estimate } } }")["data"]["_metadata"]
+    rows = [(k, str(got[k])) for k in ("chain", "lastProcessedHeight")] + [(f"rows of {r['table']}", str(r["estimate"])) for r in got["rowCountEstimate"]]
+    return spark.createDataFrame(rows, "field string, value string")
+
+
+@add("metadatas", "SELECT 'a' AS chain, count(*)::VARCHAR AS height FROM events UNION ALL SELECT 'b', count(*)::VARCHAR FROM orders")
+def metadatas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def table(chain: str, name: str):
+        counted = spark.read.parquet(f"{sf_dir}/{name}.parquet").agg(F.count(F.lit(1)).cast("string").alias("value"))
+        return counted.select(F.lit("lastProcessedHeight").alias("key"), "value").unionByName(spark.createDataFrame([("chain", f'"{chain}"')], "key string, value string"))
+
+    tables = {"_metadata_a": lambda: table("a", "events"), "_metadata_b": lambda: table("b", "orders")}
+    e = Engine(Catalog(spark, {"nation": lambda: spark.read.parquet(f"{sf_dir}/nation.parquet")}, {}, tables), Options(timeout_s=None))
+    got = e.graphql("{ _metadatas { nodes { chain lastProcessedHeight } } }")["data"]["_metadatas"]["nodes"]
+    return spark.createDataFrame([(n["chain"], str(n["lastProcessedHeight"])) for n in got], "chain string, height string")
+
+
+@add("change_ids", f"SELECT event_id::VARCHAR AS id, {_KIND} AS mutation_type FROM events WHERE event_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey IN (5, 6, 7, 8, 9))")
+def change_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("id"), F.expr(_KIND).alias("mutation_type"))
+    return changes(feed, ids=["5", "6", "7", "8", "9"])
+
+
+@add("subscription", f"SELECT c.c_custkey::VARCHAR AS id, c.c_name, count(*) AS n FROM customer c JOIN events ON user_id = c_custkey WHERE {_KIND} = 'INSERT' GROUP BY 1, 2")
+def subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("id"), F.expr(_KIND).alias("mutation_type"))
+    got = engine(spark, sf_dir, "customer").subscribe("subscription { customers(mutation: [INSERT]) { id mutation_type _entity { cName } } }", {"customer": feed})
+    at = lambda path: F.get_json_object("payload", f"$.data.customers.{path}")
+    return got.where(at("_entity").isNotNull()).select(at("id").alias("id"), at("_entity.cName").alias("c_name")).groupBy("id", "c_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Typed filters
+
+def _typed(spark: SparkSession, sf_dir: str) -> Engine:
+    """Nations with a JSON, an interval and a point column made of their keys."""
+    read = lambda: spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        "n_nationkey",
+        F.concat(F.lit('{ "b": [1, 2.50],  "a": '), F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.col("n_regionkey").cast("string"), F.lit(".0"))).otherwise(F.col("n_regionkey").cast("string")), F.lit(" }")).alias("n_json"),
+        F.when(F.col("n_nationkey") % 5 > 0, F.struct(F.col("n_regionkey").alias("years"), (F.col("n_nationkey") % 5).cast("int").alias("months"))).alias("n_interval"),
+        F.struct((F.col("n_regionkey") / 2).alias("x"), F.col("n_nationkey").cast("double").alias("y")).alias("n_point"))
+    return Engine(Catalog(spark, {"nation": read}, {"nation": Declared(key=("n_nationkey",), scalars={"n_json": "JSON", "n_interval": "Interval", "n_point": "Point"})}), Options(timeout_s=None))
+
+
+def _typed_filter(name: str, where: dict, condition: str) -> None:
+    add(name, f"SELECT n_nationkey FROM nation WHERE {condition}")(lambda spark, sf_dir: _typed(spark, sf_dir).connection("nation", where).filtered().select("n_nationkey"))
+
+
+_typed_filter("filter_json", {"or": [{"nJson": {"equalTo": {"a": 2, "b": [1.0, 2.5]}}}, {"nJson": {"equalTo": '{"a":3.0,"b":[1,2.5]}'}}]}, "n_regionkey IN (2, 3)")
+_typed_filter("filter_json_distinct", {"nJson": {"distinctFrom": {"b": [1, 2.5], "a": 0}}}, "n_regionkey <> 0")
+_typed_filter("filter_interval", {"nInterval": {"equalTo": {"months": 2, "years": 1}}}, "n_regionkey = 1 AND n_nationkey % 5 = 2")
+_typed_filter("filter_interval_null", {"or": [{"nInterval": {"isNull": True}}, {"nInterval": {"notDistinctFrom": {"years": 2, "months": 3, "days": 0}}}]}, "n_nationkey % 5 = 0 OR (n_regionkey = 2 AND n_nationkey % 5 = 3)")
+_typed_filter("filter_point", {"or": [{"nPoint": {"equalTo": {"x": 1, "y": 2}}}, {"nPoint": {"startsWith": "(0.5,1"}}, {"nPoint": {"in": ["(1.5,3)", "(2, 4)"]}}]}, "(n_regionkey = 2 AND n_nationkey = 2) OR (n_regionkey = 1 AND n_nationkey::VARCHAR LIKE '1%') OR (n_regionkey = 3 AND n_nationkey = 3) OR (n_regionkey = 4 AND n_nationkey = 4)")
 
 
 FLAGSHIP = "order_by"

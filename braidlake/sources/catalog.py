@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,10 +107,17 @@ class Entity:
 
 
 class Catalog:
-    """An immutable snapshot of entities, and how to read them. refresh() gives a new one."""
+    """An immutable snapshot of entities, and how to read them. refresh() gives a new one.
 
-    def __init__(self, spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], declared: dict[str, Declared], metadata: dict[str, Callable[[], DataFrame]] | None = None):
+    again: reads the tables' list and schemas anew; without it, refresh() reads the schemas of the same sources.
+    listing: the names of all tables there are now, for a catalog of some of them.
+    """
+
+    def __init__(self, spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], declared: dict[str, Declared], metadata: dict[str, Callable[[], DataFrame]] | None = None,
+                 again: Callable[[], Catalog] | None = None, listing: Callable[[], list[str]] | None = None):
         self.spark, self.sources, self.declared, self.metadata = spark, sources, declared, metadata or {}
+        self.again, self.listing = again, listing
+        self.listed = set(listing()) if listing else set(sources)
         entities = {n: Entity(n, read().schema, declared.get(n, Declared())) for n, read in sources.items() if not n.startswith(INTERNAL)}
         for e in entities.values():
             for fk in e.declared.foreign_keys:
@@ -119,22 +128,28 @@ class Catalog:
         self.by_single = {naming.single_field(n): n for n in self.entities}
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, names: list[str], declared: dict[str, Declared], schemas: dict[str, T.StructType] | None = None) -> Catalog:
-        """Parquet tables in one folder. Relations to tables that aren't among the names are left out."""
-        schemas = schemas or {}
+    def from_path(cls, spark: SparkSession, root: str, names: list[str] | None, declared: dict[str, Declared], schemas: dict[str, T.StructType] | None = None) -> Catalog:
+        """Parquet tables in one folder, those of the names (None: all). Relations to tables that aren't among them are left out. schemas: of tables that can't change."""
+        wanted, schemas = names, schemas or {}
+        names = list_tables(spark, root) if names is None else names
 
         def reader(name: str) -> Callable[[], DataFrame]:
             at = f"{root.rstrip('/')}/{name}.parquet"
             schema = schemas.get(name) or spark.read.parquet(at).schema
             return lambda: spark.read.schema(schema).parquet(at)
 
-        return cls(spark, {n: reader(n) for n in names}, declared)
+        return cls(spark, {n: reader(n) for n in names}, declared, again=lambda: cls.from_path(spark, root, wanted, declared, schemas), listing=None if schemas else lambda: list_tables(spark, root))
 
     @classmethod
     def from_database(cls, spark: SparkSession, database: str, declared: dict[str, Declared]) -> Catalog:
-        """Tables and views of a catalog database."""
+        """Tables and views of a catalog database. What their comments say of keys adds to what is declared."""
         at = {t.name: f"`{t.name}`" if t.isTemporary else f"`{database}`.`{t.name}`" for t in spark.catalog.listTables(database)}
-        return cls(spark, {n: (lambda n=n: spark.table(at[n])) for n in at}, declared)
+        for n in at:
+            spark.catalog.refreshTable(at[n])
+        comments = {t.name: t.description for t in spark.catalog.listTables(database)}
+        told = {n: tagged(declared.get(n, Declared()), comments.get(n), spark.table(at[n]).schema) for n in at}
+        return cls(spark, {n: (lambda n=n: spark.table(at[n])) for n in at}, {**declared, **told},
+                   again=lambda: cls.from_database(spark, database, declared), listing=lambda: [t.name for t in spark.catalog.listTables(database)])
 
     @classmethod
     def from_project(cls, spark: SparkSession, project: str, declared: dict[str, Declared], roots: tuple[str, ...] = ()) -> Catalog:
@@ -143,12 +158,24 @@ class Catalog:
             return cls.from_database(spark, project, declared)
         for root in roots:
             at = f"{root.rstrip('/')}/{project}"
-            if names := list_tables(spark, at):
-                return cls.from_path(spark, at, names, declared)
+            if list_tables(spark, at):
+                return cls.from_path(spark, at, None, declared)
         raise RequestError(f"no database or folder {project!r}")
 
     def refresh(self) -> Catalog:
-        return Catalog(self.spark, self.sources, self.declared, self.metadata)
+        """A catalog of what is there now: new and dropped tables and columns."""
+        if self.again is None:
+            return Catalog(self.spark, self.sources, self.declared, self.metadata)
+        out = self.again()
+        out.metadata = self.metadata
+        return out
+
+    def drift(self) -> list[str]:
+        """Tables that came, went or changed their columns since this catalog was made."""
+        now = self.refresh()
+        shape = lambda c, n: c.entities[n].schema if n in c.entities else None
+        changed = {n for n in {*self.entities, *now.entities} if shape(self, n) != shape(now, n)}
+        return sorted(changed | (self.listed ^ now.listed))
 
     def entity(self, name: str) -> Entity:
         if name not in self.entities:
@@ -165,13 +192,46 @@ class Catalog:
 
     def row_estimates(self) -> dict[str, int]:
         """Rows of each entity from its statistics or file footers: a count without columns reads no data pages."""
-        return {n: self.sources[n]().count() for n in self.entities}
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(self.entities, pool.map(lambda n: self.sources[n]().count(), self.entities), strict=True))
 
     def size_in_bytes(self) -> int:
         """Estimated size of all entities from the optimizer's statistics, without reading them."""
         return sum(int(str(self.sources[n]()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for n in self.entities)
 
 
+def tagged(declared: Declared, comment: str | None, schema: T.StructType) -> Declared:
+    """declared, with the keys and names that comments give, a tag to a line or between bars.
+
+    A table's: `@foreignKey (column) REFERENCES table (key)`, and after it the names of that key's fields.
+    A column's: names for the declared key of that column. Names: `@foreignFieldName name` and
+    `@singleForeignFieldName name`. What is declared comes first.
+    """
+    parts = lambda text: [p.strip() for p in re.split(r"[\n|]", text or "")]
+    keys = list(declared.foreign_keys)
+
+    def name(at: int, tag: str) -> None:
+        for field_, word in (("backward_name", "@foreignFieldName"), ("backward_single_name", "@singleForeignFieldName")):
+            if (found := re.fullmatch(rf"{word}\s+(\w+)", tag)) and getattr(keys[at], field_) is None:
+                keys[at] = replace(keys[at], **{field_: found[1]})
+
+    last = None
+    for tag in parts(comment):
+        if found := re.fullmatch(r"(?i)@foreignKey\s*\(\s*(\w+)\s*\)\s+references\s+(\w+)\s*\(\s*(\w+)\s*\)", tag):
+            last = next((i for i, k in enumerate(keys) if k.column == found[1]), None)
+            if last is None:
+                keys.append(ForeignKey(*found.groups()))
+                last = len(keys) - 1
+        elif last is not None:
+            name(last, tag)
+    for f in schema.fields:
+        for at, k in enumerate(keys):
+            if k.column == f.name:
+                for tag in parts(f.metadata.get("comment")):
+                    name(at, tag)
+    return replace(declared, foreign_keys=tuple(keys))
+
+
 def list_tables(spark: SparkSession, root: str) -> list[str]:
     """Names of the Parquet tables in a folder of any file system that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

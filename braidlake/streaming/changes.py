@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlake.errors import RequestError
+from braidlake.operators.metadata import channel
 from braidlake.plans.predicates import Scope
 
 KINDS = ("INSERT", "UPDATE", "DELETE")
 PAYLOAD = "id string, mutation_type string, _entity string"
 
 
-def parsed(stream: DataFrame, column: str = "value") -> DataFrame:
-    """Payloads of a text stream (files, Kafka, sockets). What is no payload is dropped."""
+def parsed(stream: DataFrame, column: str = "value", table: tuple[str, str] | None = None, topic: str = "topic") -> DataFrame:
+    """Payloads of a text stream (files, Kafka, sockets). What is no payload is dropped. table: (schema, table) whose channel alone is read, by the column of topics."""
+    if table is not None:
+        stream = stream.where(F.col(topic) == channel(*table, "entity_change"))
     got = stream.select(F.from_json(F.col(column).cast("string"), PAYLOAD, {"mode": "PERMISSIVE"}).alias("p")).select("p.*")
     return got.where(F.col("id").isNotNull() & F.col("mutation_type").isin(*KINDS))
 

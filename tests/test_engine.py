@@ -11,6 +11,7 @@ from braidlake.errors import RequestError
 from braidlake.functions.types import literal, wire
 from braidlake.gql.parser import parse
 from braidlake.gql.validate import Limits, aliases, complexity, depth
+from braidlake.operators.metadata import channel, service
 from braidlake.plans.connection import Connection, Page
 from braidlake.sources import samples
 from braidlake.sources.catalog import Catalog, Declared, ForeignKey, is_junction
@@ -111,7 +112,13 @@ def test_limits():
 def test_limits_of_engine(small):
     tight = Engine(small.catalog, Options(timeout_s=None, limits=Limits(depth=2, complexity=5, aliases=0, batch=1)))
     assert "depth" in tight.graphql("{ authors { nodes { id } } }")["errors"][0]["message"]
-    assert "complexity" in tight.graphql("{ authors { totalCount pageInfo { hasNextPage hasPreviousPage startCursor endCursor } } }")["errors"][0]["message"] or True
+    small_cost = Engine(small.catalog, Options(timeout_s=None, limits=Limits(complexity=5)))
+    many = "authors { totalCount pageInfo { hasNextPage hasPreviousPage startCursor endCursor } }"
+    assert "complexity" in small_cost.graphql(f"{{ {many} }}")["errors"][0]["message"]
+    assert "errors" not in small_cost.graphql(f"query IntrospectionQuery {{ {many} }}")
+    assert small_cost.metrics["le_10"] == small_cost.metrics["requests"] == 2 and small_cost.metrics["errors"] == 1
+    few = Engine(small.catalog, Options(timeout_s=None, group_limit=2))
+    assert "groups" in few.graphql("{ authors { groupedAggregates(groupBy: [NAME]) { keys } } }")["errors"][0]["message"]
     assert tight.graphql("{ x: nodeId }")["errors"]
     with pytest.raises(RequestError):
         tight.batch([{}, {}])
@@ -251,3 +258,171 @@ def test_entry(spark):
 
     assert len(e.entry(spark).take(1)) == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_timeout(spark):
+    slow = F.udf(lambda x: __import__("time").sleep(20) or x, "long")
+    e = Engine(Catalog(spark, {"things": lambda: spark.range(2).select(slow("id").alias("id"))}, {"things": Declared(key=("id",))}), Options(timeout_s=2))
+    assert "took more than 2 s" in e.graphql("{ things { nodes { id } } }")["errors"][0]["message"]
+
+
+def test_refresh_and_health(spark, tmp_path):
+    write = lambda name, df: df.write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+    write("things", spark.range(3))
+    for names in (None, ["things"]):
+        e = Engine(Catalog.from_path(spark, str(tmp_path), names, {"things": Declared(key=("id",))}), Options(timeout_s=None))
+        assert e.health() == {"status": "healthy", "tables": 1}
+        write("things", spark.range(3).withColumn("extra", F.lit("x")))
+        assert e.health()["changed"] == ["things"] and e.health()["status"] == "degraded"
+        write("others", spark.range(2))
+        assert e.health()["changed"] == ["others", "things"]
+        e.refresh()
+        assert e.health()["status"] == "healthy" and data(e, "{ things(first: 1) { nodes { id extra } } }")["things"]["nodes"] == [{"id": "0", "extra": "x"}]
+        assert ("others" in e.catalog.entities) == (names is None)
+        __import__("shutil").rmtree(tmp_path / "others.parquet")
+        assert e.health() == {"status": "degraded", "tables": len(e.catalog.entities), "changed": ["others"]}
+        e.refresh()
+        assert e.health() == {"status": "healthy", "tables": 1}
+        write("things", spark.range(3))
+        e.refresh()
+    __import__("shutil").rmtree(tmp_path / "things.parquet")
+    assert e.health()["status"] == "unhealthy"
+
+
+def test_refresh_by_notice(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.range(3).write.parquet(str(tmp_path / "t" / "things.parquet"))
+    e = Engine(Catalog.from_path(spark, str(tmp_path / "t"), None, {}), Options(timeout_s=None))
+    spark.range(3).write.parquet(str(tmp_path / "t" / "more.parquet"))
+    (tmp_path / "in" / "a.txt").write_text("schema_updated\n")
+    q = e.follow(spark.readStream.text(str(tmp_path / "in"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert set(e.catalog.entities) == {"things", "more"}
+
+
+def test_tags_in_comments(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tagged_shop")
+    for t in ("writers", "novels", "bios"):
+        spark.sql(f"DROP TABLE IF EXISTS tagged_shop.{t}")
+    spark.sql("CREATE TABLE tagged_shop.writers (id BIGINT, name STRING) USING parquet")
+    spark.sql("CREATE TABLE tagged_shop.novels (id BIGINT, writer_id BIGINT, title STRING) USING parquet COMMENT '@foreignKey (writer_id) REFERENCES writers (id)|@foreignFieldName works'")
+    spark.sql("CREATE TABLE tagged_shop.bios (id BIGINT, writer_id BIGINT COMMENT '@singleForeignFieldName bio') USING parquet")
+    declared = {"writers": Declared(key=("id",)), "bios": Declared(key=("id",), foreign_keys=(ForeignKey("writer_id", "writers", "id"),), unique=(("writer_id",),))}
+    c = Catalog.from_database(spark, "tagged_shop", declared)
+    assert {r.name: (r.kind, r.table) for r in c.entity("writers").relations.values()} == {"works": ("backward", "novels"), "bio": ("single", "bios")}
+    assert c.entity("novels").relations["writer"].there == "id"
+    spark.sql("INSERT INTO tagged_shop.writers VALUES (1, 'Ann')")
+    spark.sql("INSERT INTO tagged_shop.novels VALUES (5, 1, 'One')")
+    assert data(Engine(c, Options(timeout_s=None)), "{ writers { nodes { name bio { id } works { nodes { title } } } } }")["writers"]["nodes"] == [{"name": "Ann", "bio": None, "works": {"nodes": [{"title": "One"}]}}]
+    spark.sql("ALTER TABLE tagged_shop.writers ADD COLUMN born INT")
+    e = Engine(c)
+    assert e.health()["changed"] == ["writers"]
+    e.refresh()
+    assert "born" in e.catalog.entity("writers").columns and e.health()["status"] == "healthy"
+    spark.sql("DROP DATABASE tagged_shop CASCADE")
+
+
+def test_subscription(spark, small, tmp_path):
+    from braidlake.engine import payloads
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"id": "1", "mutation_type": "UPDATE"}\n{"id": "2", "mutation_type": "DELETE"}\n{"id": "3", "mutation_type": "UPDATE"}\n')
+    feed = {"authors": feeds.parsed(spark.readStream.text(str(tmp_path / "in")))}
+    query = "subscription S($ids: [ID!]) { a: authors(id: $ids, mutation: [UPDATE, DELETE]) { __typename id kind: mutation_type _entity { id name } } }"
+    got = sorted(payloads(small.subscribe(query, feed, {"ids": [1, 2]}), str(tmp_path / "c"), 60, once=True))
+    assert got == [
+        '{"data":{"a":{"__typename":"AuthorSubscriptionPayload","id":"1","kind":"UPDATE","_entity":{"id":"1","name":"Ann"}}}}',
+        '{"data":{"a":{"__typename":"AuthorSubscriptionPayload","id":"2","kind":"DELETE","_entity":null}}}',
+    ]
+    for bad in ("subscription { nope { id } }", "subscription { authors { id } books { id } }", "subscription { books { id } }", "{ authors { totalCount } }", "subscription { authors(mutation: [WHAT]) { id } }", "subscription { authors { what } }"):
+        with pytest.raises(RequestError):
+            small.subscribe(bad, feed)
+    assert small.graphql("subscription { authors { id } }")["errors"]
+
+
+def test_feed_of_one_table(spark):
+    rows = [(channel("app", t, "entity_change"), f'{{"id": "{t}", "mutation_type": "INSERT"}}') for t in ("authors", "books")]
+    assert [r["id"] for r in feeds.parsed(spark.createDataFrame(rows, "topic string, value string"), table=("app", "books")).collect()] == ["books"]
+
+
+def test_service_and_point_argument(spark, small):
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            body = b'{"targetHeight": 99, "chain": "other", "what": 1}' if self.path == "/meta" else b"ok"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert service(url) == {"targetHeight": 99, "chain": "other"} and service("http://127.0.0.1:9", 0.2) == {}
+    e = Engine(small.catalog, Options(timeout_s=None), lambda: service(url))
+    assert data(e, "{ _metadata { chain targetHeight } }")["_metadata"] == {"chain": "main", "targetHeight": 99}
+    server.shutdown()
+    table = lambda: spark.createDataFrame([("historicalStateEnabled", '"timestamp"')], "key string, value string")
+    by_time = Catalog(spark, small.catalog.sources, small.catalog.declared, {"_metadata": table})
+    assert Engine(by_time, Options(point_argument=None)).options.point_argument == "timestamp" and Engine(small.catalog, Options(point_argument=None)).options.point_argument == "blockHeight"
+
+
+def test_nested_distinct_is_in_order_of_the_keys(spark):
+    books = spark.createDataFrame([(1, 1, "b"), (2, 1, "a"), (3, 1, "b"), (4, 1, "c")], "id long, author_id long, kind string")
+    e = Engine(Catalog(spark, {"authors": lambda: spark.range(1, 2), "books": lambda: books}, {"authors": Declared(key=("id",)), "books": Declared(key=("id",), foreign_keys=(ForeignKey("author_id", "authors", "id"),))}), Options(timeout_s=None))
+    got = data(e, "{ books(distinct: [KIND], orderBy: ID_DESC) { nodes { id } } authors { nodes { booksByAuthorId(distinct: [KIND], orderBy: ID_DESC, first: 2) { nodes { id } } } } }")
+    assert [b["id"] for b in got["books"]["nodes"]] == ["2", "3", "4"] and [b["id"] for b in got["authors"]["nodes"][0]["booksByAuthorId"]["nodes"]] == ["2", "3"]
+
+
+_AT = datetime.datetime(2024, 1, 15, 10, 30)
+_TYPES = [
+    ("b", "boolean", True, True), ("i1", "tinyint", 7, 7), ("i2", "smallint", 32767, 32767), ("i4", "int", 2147483647, 2147483647), ("i8", "bigint", 9223372036854775807, "9223372036854775807"),
+    ("f4", "float", 0.5, 0.5), ("f8", "double", 2.718281828459045, 2.718281828459045), ("n", "decimal(38,6)", decimal.Decimal("99999999999999.123456"), "99999999999999.123456"),
+    ("t", "string", "hello", "hello"), ("y", "binary", b"\xde\xad\xbe\xef", "deadbeef"), ("j", "string", '{"nested": {"num": 42}}', {"nested": {"num": 42}}), ("ts", "timestamp_ntz", _AT, "2024-01-15T10:30:00"),
+    ("tz", "timestamp", _AT.replace(tzinfo=datetime.UTC), "2024-01-15T10:30:00+00:00"), ("d", "date", _AT.date(), "2024-01-15"), ("tm", "string", "14:30:00", "14:30:00"), ("u", "string", "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11", "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"),
+    ("bit", "string", "10101010", "10101010"), ("ip", "string", "192.168.1.1", "192.168.1.1"), ("iv", "struct<years:int,months:int,days:int,hours:int,minutes:int,seconds:double>", (1, 2, 3, 4, 5, 6.0), {"years": 1, "months": 2, "days": 3, "hours": 4, "minutes": 5, "seconds": 6.0}),
+    ("p", "struct<x:double,y:double>", (1.5, 2.5), {"x": 1.5, "y": 2.5}), ("bs", "array<boolean>", [True, None], [True, None]), ("is", "array<int>", [1, 2], [1, 2]), ("ls", "array<bigint>", [1], ["1"]), ("ds", "array<double>", [1.5], [1.5]), ("ns", "array<decimal(10,2)>", [decimal.Decimal("1.50")], ["1.50"]),
+    ("xs", "array<string>", ["a"], ["a"]), ("tss", "array<timestamp_ntz>", [_AT], ["2024-01-15T10:30:00"]), ("days", "array<date>", [_AT.date()], ["2024-01-15"]), ("ys", "array<binary>", [b"\x01"], ["01"]), ("m", "map<string,bigint>", {"k": 1}, {"k": "1"}),
+]
+_NAMED = {"j": "JSON", "tm": "Time", "u": "UUID", "bit": "BitString", "ip": "InternetAddress", "iv": "Interval", "p": "Point"}
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    rows = [(1, *(v for _, _, v, _ in _TYPES)), (2, *(None for _ in _TYPES))]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"`{n}` {k}" for n, k, _, _ in _TYPES))
+    return Engine(Catalog(spark, {"things": lambda: df}, {"things": Declared(key=("id",), scalars=_NAMED)}), Options(timeout_s=None))
+
+
+def test_wire_of_every_type(typed):
+    got = [n for n in typed.connection("things", first=5).fetch().rows]
+    c = typed.connection("things", first=5)
+    one, two = (c.fetch().node(r) for r in got)
+    for name, _, _, want in _TYPES:
+        assert one[name] == want, name
+        assert two[name] is None, name
+
+
+@pytest.mark.parametrize("name, operators", [
+    ("b", {"equalTo": True}), ("i1", {"equalTo": 7}), ("i2", {"lessThanOrEqualTo": 32767}), ("i4", {"in": [1, 2147483647]}), ("i8", {"equalTo": "9223372036854775807"}), ("f4", {"greaterThan": 0.25}), ("f8", {"equalTo": 2.718281828459045}),
+    ("n", {"equalTo": "99999999999999.123456"}), ("t", {"startsWithInsensitive": "HE"}), ("y", {"equalTo": "deadbeef"}), ("j", {"equalTo": {"nested": {"num": 42}}}), ("ts", {"equalTo": "2024-01-15T10:30:00"}), ("tz", {"lessThan": "2024-01-15T10:31:00Z"}),
+    ("d", {"equalTo": "2024-01-15"}), ("tm", {"greaterThan": "14:00:00"}), ("u", {"equalTo": "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"}), ("bit", {"equalTo": "10101010"}), ("ip", {"in": ["192.168.1.1"]}), ("iv", {"equalTo": {"months": 2, "years": 1, "days": 3, "hours": 4, "minutes": 5, "seconds": 6}}),
+    ("p", {"equalTo": {"x": 1.5, "y": 2.5}}), ("p", {"like": "(1.5,%"}), ("bs", {"some": {"equalTo": True}}), ("is", {"some": {"greaterThan": 1}}), ("ls", {"every": {"equalTo": "1"}}), ("xs", {"none": {"equalTo": "b"}}), ("days", {"some": {"equalTo": "2024-01-15"}}),
+])
+def test_filters_of_every_type(typed, name, operators):
+    ids = lambda w: sorted(r["id"] for r in typed.connection("things", w).filtered().collect())
+    assert ids({name: operators}) in ([1], [1, 2] if "none" in operators or "every" in operators else [1])
+    if typed.catalog.entity("things").scalar(name) == "List":
+        return
+    assert ids({name: {"isNull": True}}) == [2]
+    assert typed.connection("things", {"not": {name: operators}}).total().first()[0] == 0
+
+
+@pytest.mark.parametrize("name, value", [("iv", "1 year"), ("iv", {"weeks": 1}), ("p", {"x": 1}), ("p", 3)])
+def test_values_that_are_none_of_their_type(typed, name, value):
+    with pytest.raises(RequestError):
+        typed.connection("things", {name: {"equalTo": value}}).filtered()
