@@ -175,13 +175,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE)
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality) of the rows that may be learnt from; at most `size` texts of each class."""
+    """docs(doc_id, text), labels(doc_id, quality) of the rows that may be learnt from; at most `size` texts of each class, of rows that repeat an id the least text."""
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = sample(known.where("y = 1"), "doc_id", size).unionByName(sample(known.where("y = 0"), "doc_id", size))
     # Twice the parameter, so that what is broadcast is bounded; of the texts only their features come to the driver.
     chosen = F.broadcast(spark.createDataFrame(chosen.collect(), "doc_id long, y int"))
-    got = feature_column(docs.join(chosen, "doc_id"), "text", ["y"]).collect()
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = feature_column(texts, "text", ["y"]).collect()
     rows = sorted((r["y"], *r["x"]) for r in got)
     return fit(np.array([r[1:] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[0] for r in rows], float))
 
