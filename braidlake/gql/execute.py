@@ -175,7 +175,7 @@ class Executor:
         if f.name.endswith("ByNodeId") and f.name[: -len("ByNodeId")] in c.by_single:
             return self.node(f, a, c.by_single[f.name[: -len("ByNodeId")]])
         for name, e in c.entities.items():
-            if e.declared.search and f.name == sdl.search_field(name):
+            if (e.declared.search or e.declared.finder) and f.name == sdl.search_field(name):
                 return self.search(f, a, name)
         raise RequestError(f"Query has no field {f.name!r}")
 
@@ -324,7 +324,8 @@ class Executor:
         size = Page(first=asked).size(self.engine.limit or 100)
         fields = self.fields(f.selection, (f"{naming.plural_type_name(name)}Connection",))
         query = a.get("search") or ""
-        rows = search.ranked(scope, query, size + 1, offset)
+        after = codec.decode(str(a["after"]), dict) if a.get("after") is not None else None
+        rows = search.ranked(scope, query, size + 1, offset, after)
         select = self.node_columns(scope.entity, fields)
         key = [k for k in scope.entity.declared.key if k not in select]
         page = rows.select("__score", *(scope.col(c).alias(c) for c in [*select, *key])) if rows is not None else None

@@ -53,6 +53,7 @@ def types(catalog: Catalog, options) -> list[dict]:
     add("ENUM", "MutationType", values=["INSERT", "UPDATE", "DELETE"])
     add("OBJECT", "Interval", obj({k: "Int" for k in ("years", "months", "days", "hours", "minutes", "seconds")}))
     add("OBJECT", "Point", obj({"x": "Float!", "y": "Float!"}))
+    add("INPUT_OBJECT", "IntervalInput", obj({k: "Float" for k in ("years", "months", "days", "hours", "minutes", "seconds")}))
     add("OBJECT", "TableEstimate", obj({"table": "String", "estimate": "Int"}))
     add("OBJECT", "_Metadata", obj({f: "Int" if f in _INT else "Boolean" if f in _BOOL else "[TableEstimate]" if f == "rowCountEstimate" else "JSON" if f in ("dynamicDatasources", "deployments") else "String" for f in FIELDS}))
     add("OBJECT", "_MetadatasEdge", obj({"cursor": "Cursor", "node": "_Metadata"}))
@@ -60,7 +61,7 @@ def types(catalog: Catalog, options) -> list[dict]:
     for scalar, names in OPERATORS.items():
         if scalar in ("List", "Enum"):
             continue
-        add("INPUT_OBJECT", f"{scalar}Filter", obj({n: "Boolean" if n == "isNull" else f"[{scalar}!]" if n.startswith(("in", "notIn")) and n in ("in", "notIn", "inInsensitive", "notInInsensitive") else "String" if scalar == "Point" else scalar for n in names}))
+        add("INPUT_OBJECT", f"{scalar}Filter", obj({n: "Boolean" if n == "isNull" else f"[{scalar}!]" if n.startswith(("in", "notIn")) and n in ("in", "notIn", "inInsensitive", "notInInsensitive") else {"Point": "String", "Interval": "IntervalInput"}.get(scalar, scalar) for n in names}))
         add("INPUT_OBJECT", f"{scalar}ListFilter", obj({"some": f"{scalar}Filter", "none": f"{scalar}Filter", "every": f"{scalar}Filter", "isEmpty": "Boolean"}))
     query: dict = {"query": ("Query!", {}), "nodeId": ("ID!", {}), "node": ("Node", {"nodeId": "ID!"}), "_metadata": ("_Metadata", {"chainId": "String"}), "_metadatas": ("_Metadatas", {"after": "Cursor", "before": "Cursor"})}
     stream: dict = {}
@@ -112,8 +113,8 @@ def types(catalog: Catalog, options) -> list[dict]:
             query[f"{naming.single_field(name)}ByNodeId"] = (one, {"nodeId": "ID!"} | versions)
             add("OBJECT", f"{one}SubscriptionPayload", obj({"id": "ID!", "mutation_type": "MutationType!", "_entity": one}))
             stream[naming.connection_field(name)] = (f"{one}SubscriptionPayload", {"id": "[ID!]", "mutation": "[MutationType!]"})
-        if e.declared.search:
-            query[search_field(name)] = (f"{many}Connection!", {"search": "String!", "first": "Int", "offset": "Int"})
+        if e.declared.search or e.declared.finder:
+            query[search_field(name)] = (f"{many}Connection!", {"search": "String!", "first": "Int", "offset": "Int", "after": "Cursor"})
     add("OBJECT", "Query", query)
     add("OBJECT", "Subscription", stream)
     return list(out.values())

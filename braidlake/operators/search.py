@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlake.errors import RequestError
+from braidlake.plans.ordering import Term, beyond
 from braidlake.plans.predicates import Scope
 
 #: Words are runs of letters, digits, underscores and hyphens of any script.
@@ -35,8 +36,11 @@ def score(text: Column, wanted: list[str]) -> Column:
 
 
 def search(scope: Scope, query: str) -> DataFrame | None:
-    """Valid rows that match, with __score; None for a query without tokens, which finds nothing."""
-    columns = scope.entity.declared.search
+    """Valid rows that match, with __score; None for a query without tokens, which finds nothing. The entity's own finder comes first."""
+    columns, finder = scope.entity.declared.search, scope.entity.declared.finder
+    if finder is not None and query.strip():
+        found = finder(scope.frame(), query)
+        return found if "__score" in found.columns else found.withColumn("__score", F.lit(0))
     if not columns:
         raise RequestError(f"{scope.entity.type_name} has no search")
     wanted = tokens(query)
@@ -46,9 +50,14 @@ def search(scope: Scope, query: str) -> DataFrame | None:
     return scope.frame(matches(text, wanted)).withColumn("__score", score(text, wanted))
 
 
-def ranked(scope: Scope, query: str, first: int, offset: int = 0) -> DataFrame | None:
-    """A page of the matches, most occurrences first, ties by key."""
+def ranked(scope: Scope, query: str, first: int, offset: int = 0, after: dict | None = None) -> DataFrame | None:
+    """A page of the matches, most occurrences first, ties by key; after: the place of a row, by __score and key, that the page follows."""
     rows = search(scope, query)
     if rows is None:
         return None
+    if after is not None:
+        terms = [Term("__score", descending=True), *(Term(k) for k in scope.entity.declared.key)]
+        if set(after) != {t.column for t in terms}:
+            raise RequestError("the cursor is from another order")
+        rows = rows.where(beyond(terms, [after[t.column] for t in terms], [rows.schema[t.column].dataType for t in terms]))
     return rows.orderBy(F.desc("__score"), *(scope.col(c) for c in scope.entity.tiebreak)).offset(offset).limit(first)

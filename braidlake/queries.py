@@ -390,6 +390,23 @@ def subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(at("_entity").isNotNull()).select(at("id").alias("id"), at("_entity.cName").alias("c_name")).groupBy("id", "c_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Views and searches of one's own
+
+@add("view", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").createOrReplaceTempView("filled_orders")
+    c = Catalog.from_database(spark, "default", {"filled_orders": Declared(key=("o_orderkey",))})
+    return Engine(c, Options(timeout_s=None)).connection("filled_orders", {"oTotalprice": {"greaterThan": 100000}}).filtered().select("o_orderkey", "o_totalprice")
+
+
+@add("search_function", "SELECT n_nationkey, n_name FROM nation WHERE n_name LIKE '%1%'")
+def search_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lambda rows, query: rows.where(F.col("n_name").contains(query))
+    e = Engine(Catalog(spark, {"nation": lambda: spark.read.parquet(f"{sf_dir}/nation.parquet")}, {"nation": Declared(key=("n_nationkey",), finder=found)}), Options(timeout_s=None))
+    got = e.graphql('{ search_nation(search: "1", first: 100) { nodes { nNationkey nName } } }')["data"]["search_nation"]["nodes"]
+    return spark.createDataFrame([(n["nNationkey"], n["nName"]) for n in got], "n_nationkey int, n_name string")
+
+
 # Typed filters
 
 def _typed(spark: SparkSession, sf_dir: str) -> Engine:

@@ -32,7 +32,11 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class Declared:
-    """What a table's files don't tell. versions: columns of a half-open validity interval, null for an open end."""
+    """What a table's files don't tell. versions: columns of a half-open validity interval, null for an open end.
+
+    search: columns that are searched. finder: a search of one's own, from the entity's valid rows and the
+    query to those that match, with a number `__score` (greater first) if it ranks them.
+    """
 
     key: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
@@ -40,6 +44,7 @@ class Declared:
     enums: dict[str, tuple[str, ...]] = field(default_factory=dict)
     versions: tuple[str, str] | None = None
     search: tuple[str, ...] = ()
+    finder: Callable[[DataFrame, str], DataFrame] | None = None
     hidden: tuple[str, ...] = ()
     scalars: dict[str, str] = field(default_factory=dict)
 
@@ -204,6 +209,7 @@ def tagged(declared: Declared, comment: str | None, schema: T.StructType) -> Dec
     """declared, with the keys and names that comments give, a tag to a line or between bars.
 
     A table's: `@foreignKey (column) REFERENCES table (key)`, and after it the names of that key's fields.
+    Also a table's: `@search column, column`, the columns that are searched.
     A column's: names for the declared key of that column. Names: `@foreignFieldName name` and
     `@singleForeignFieldName name`. What is declared comes first.
     """
@@ -215,8 +221,10 @@ def tagged(declared: Declared, comment: str | None, schema: T.StructType) -> Dec
             if (found := re.fullmatch(rf"{word}\s+(\w+)", tag)) and getattr(keys[at], field_) is None:
                 keys[at] = replace(keys[at], **{field_: found[1]})
 
-    last = None
+    last, search = None, declared.search
     for tag in parts(comment):
+        if (found := re.fullmatch(r"@search\s+(\w+(?:\s*,\s*\w+)*)", tag)) and not search:
+            search = tuple(c for c in re.split(r"\s*,\s*", found[1]) if c in schema.names)
         if found := re.fullmatch(r"(?i)@foreignKey\s*\(\s*(\w+)\s*\)\s+references\s+(\w+)\s*\(\s*(\w+)\s*\)", tag):
             last = next((i for i, k in enumerate(keys) if k.column == found[1]), None)
             if last is None:
@@ -229,7 +237,7 @@ def tagged(declared: Declared, comment: str | None, schema: T.StructType) -> Dec
             if k.column == f.name:
                 for tag in parts(f.metadata.get("comment")):
                     name(at, tag)
-    return replace(declared, foreign_keys=tuple(keys))
+    return replace(declared, foreign_keys=tuple(keys), search=search)
 
 
 def list_tables(spark: SparkSession, root: str) -> list[str]:

@@ -12,6 +12,7 @@ from braidlake.functions.types import literal, wire
 from braidlake.gql.parser import parse
 from braidlake.gql.validate import Limits, aliases, complexity, depth
 from braidlake.operators.metadata import channel, service
+from braidlake.operators.search import ranked
 from braidlake.plans.connection import Connection, Page
 from braidlake.sources import samples
 from braidlake.sources.catalog import Catalog, Declared, ForeignKey, is_junction
@@ -219,6 +220,20 @@ def test_empty_search(engine):
     assert data(engine, '{ search_documents(search: " !? ") { totalCount nodes { docId } pageInfo { hasNextPage } } }')["search_documents"] == {"totalCount": 0, "nodes": [], "pageInfo": {"hasNextPage": False}}
 
 
+def test_search_pages(engine):
+    query = '{ search_documents(search: "the", first: 7%s) { edges { cursor node { docId } } pageInfo { hasNextPage endCursor } } }'
+    ids, after = [], ""
+    while True:
+        got = data(engine, query % after)["search_documents"]
+        ids += [e["node"]["docId"] for e in got["edges"]]
+        if not got["pageInfo"]["hasNextPage"]:
+            break
+        after = f', after: "{got["pageInfo"]["endCursor"]}"'
+    want = [str(r["doc_id"]) for r in ranked(engine.scope("documents"), "the", 10_000).collect()]
+    assert ids == want and len(ids) > 14
+    assert engine.graphql('{ search_documents(search: "the", after: "e30=") { totalCount nodes { docId } } }')["errors"]
+
+
 def test_change_stream(spark, engine, tmp_path):
     lines = ['{"id": "1", "mutation_type": "UPDATE"}', "not json", '{"id": "2", "mutation_type": "DELETE"}', '{"id": "3", "mutation_type": "INSERT", "_entity": "{\\"c_name\\": \\"own\\"}"}', '{"id": "4", "mutation_type": "WHAT"}']
     (tmp_path / "in").mkdir()
@@ -304,7 +319,7 @@ def test_tags_in_comments(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS tagged_shop")
     for t in ("writers", "novels", "bios"):
         spark.sql(f"DROP TABLE IF EXISTS tagged_shop.{t}")
-    spark.sql("CREATE TABLE tagged_shop.writers (id BIGINT, name STRING) USING parquet")
+    spark.sql("CREATE TABLE tagged_shop.writers (id BIGINT, name STRING) USING parquet COMMENT '@search name'")
     spark.sql("CREATE TABLE tagged_shop.novels (id BIGINT, writer_id BIGINT, title STRING) USING parquet COMMENT '@foreignKey (writer_id) REFERENCES writers (id)|@foreignFieldName works'")
     spark.sql("CREATE TABLE tagged_shop.bios (id BIGINT, writer_id BIGINT COMMENT '@singleForeignFieldName bio') USING parquet")
     declared = {"writers": Declared(key=("id",)), "bios": Declared(key=("id",), foreign_keys=(ForeignKey("writer_id", "writers", "id"),), unique=(("writer_id",),))}
@@ -314,6 +329,7 @@ def test_tags_in_comments(spark):
     spark.sql("INSERT INTO tagged_shop.writers VALUES (1, 'Ann')")
     spark.sql("INSERT INTO tagged_shop.novels VALUES (5, 1, 'One')")
     assert data(Engine(c, Options(timeout_s=None)), "{ writers { nodes { name bio { id } works { nodes { title } } } } }")["writers"]["nodes"] == [{"name": "Ann", "bio": None, "works": {"nodes": [{"title": "One"}]}}]
+    assert data(Engine(c, Options(timeout_s=None)), '{ search_writers(search: "ann") { nodes { name } } }')["search_writers"]["nodes"] == [{"name": "Ann"}]
     spark.sql("ALTER TABLE tagged_shop.writers ADD COLUMN born INT")
     e = Engine(c)
     assert e.health()["changed"] == ["writers"]
