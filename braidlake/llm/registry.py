@@ -10,4 +10,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_topk": topk.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op5_topk": topk.OP5_SQL, "op8_sharding": sharding.OP8_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -93,3 +93,38 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stage(docs)
     placed = with_slots(assign(docs, "grouped", "size"), "doc_id", docs.count())
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# LPT over all groups, largest first; then groups of one size are dealt by rank to the shards that the run fills.
+OP8_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, coalesce(md5(text), 'null') AS g,
+    regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes
+  FROM documents
+), crc AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t
+  FROM range(256) AS r(k)
+), gs AS (
+  SELECT g, sum(size)::BIGINT AS total FROM d GROUP BY g
+), n AS (
+  SELECT greatest(1, ceil(sqrt(count(*)) / 2)::BIGINT) AS of_groups, (SELECT greatest(1, ceil(sqrt(count(*)) / 2)::BIGINT) FROM d) AS of_docs FROM gs
+), o AS (
+  SELECT total, row_number() OVER (ORDER BY total DESC, g) AS i FROM gs
+), lpt AS (
+  SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS load, 0::BIGINT AS total, -1::BIGINT AS shard
+  UNION ALL
+  SELECT o.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + o.total ELSE x END), o.total,
+    list_position(load, list_min(load))::BIGINT - 1
+  FROM lpt JOIN o ON o.i = lpt.i + 1
+), runs AS (
+  SELECT total, shard, sum(count(*)) OVER (PARTITION BY total ORDER BY shard) AS upto FROM lpt WHERE shard >= 0 GROUP BY total, shard
+), ranked AS (
+  SELECT g, total, row_number() OVER (PARTITION BY total ORDER BY ('0x' || substr(md5(g), 1, 8))::BIGINT % (SELECT of_groups FROM n), g) AS r FROM gs
+), placed AS (
+  SELECT g, min(shard)::INT AS shard FROM ranked JOIN runs ON ranked.total = runs.total AND upto >= r GROUP BY g
+)
+SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], list_transform(bytes, lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+  'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % (SELECT of_docs FROM n), doc_id) - 1)::BIGINT AS slot,
+  NULL::INT AS grown_shard
+FROM d JOIN placed ON d.g = placed.g, crc
+"""

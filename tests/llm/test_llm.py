@@ -170,6 +170,44 @@ def test_media(odd, none):
     assert got[1][2:7] == got[2][2:7] and got[4] == got[5] and audio.media_columns(none, "text", ["doc_id"]).count() == 0
 
 
+def test_log_mel_by_the_definition():
+    """Frames, Hann window, Fourier sums, mel triangles and logarithms, one number after another; and the tensors' means."""
+    g = np.random.default_rng(4)
+    for n in (0, 100, 256, 700, 5000):
+        x = g.standard_normal(n).astype(np.float32)
+        got = audio.log_mel(x, 4000)
+        frames = 1 if n <= 256 else math.ceil((n - 256) / 128) + 1
+        assert got.shape == (frames, audio.MELS)
+        mel, hz = lambda f: 2595 * math.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+        edges = [hz(mel(2000) * k / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+        for t in {0, frames // 2, frames - 1}:
+            frame = [(x[t * 128 + i] if t * 128 + i < n else 0) * (0.5 - 0.5 * math.cos(2 * math.pi * i / 255)) for i in range(256)]
+            power = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / 256), -math.sin(2 * math.pi * k * i / 256)) for i, v in enumerate(frame))) ** 2 for k in range(129)]
+            for b in range(audio.MELS):
+                lo, mid, hi = edges[b : b + 3]
+                total = sum(p * max(0, min((k * 4000 / 256 - lo) / (mid - lo), (hi - k * 4000 / 256) / (hi - mid))) for k, p in enumerate(power))
+                assert got[t, b] == pytest.approx(math.log(max(total, 1e-10)), abs=1e-2)
+    text = "aaaa " * 400 + "日本語テキスト" * 200 + "b z q x " * 300 + "éàü" * 300 + "plain words " * 90
+    media = audio.to_wav(audio.payload_of(text.encode()))
+    tensors, seconds = audio.features(media)
+    wave = audio.resample((np.frombuffer(audio.from_wav(media)[0], np.uint8).astype(np.float32) - 128) / 128)
+    mel_ = audio.log_mel(wave, 4000)
+    energy = np.exp(mel_).sum(1)
+    high, low, spans, start = audio.HIGH * np.median(energy), audio.LOW * np.median(energy), [], None
+    for k, e in enumerate([*energy.tolist(), -1.0]):
+        if start is None and e >= high:
+            start = k
+        elif start is not None and e < low:
+            spans.append((start, k))
+            start = None
+    assert len(spans) > 1 and np.allclose(seconds[:, 0], [a * 128 / 4000 for a, _ in spans]) and len(tensors) == len(spans)
+    for (a, b), tensor in zip(spans, tensors, strict=True):
+        for k in range(audio.SPANS):
+            i, j = a + k * (b - a) / audio.SPANS, a + (k + 1) * (b - a) / audio.SPANS
+            i, j = math.floor(i), max(math.floor(i) + 1, math.ceil(j))
+            assert np.allclose(tensor[k], mel_[i:j].mean(0), atol=1e-3)
+
+
 def test_resampling_and_segments():
     g = np.random.default_rng(1)
     x = g.standard_normal(1003).astype(np.float32)
