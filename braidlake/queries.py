@@ -286,7 +286,13 @@ _agg("agg_distinct_count", {"distinctCount": ["oCustkey", "oOrderpriority"]}, "c
 _agg("agg_sum", {"sum": ["oTotalprice"]}, "round(sum(o_totalprice), 2) AS sum_o_totalprice", round_to=2)
 _agg("agg_avg", {"average": ["oTotalprice"]}, "round(avg(o_totalprice), 4) AS average_o_totalprice", round_to=4)
 _agg("agg_stddev", {"stddevSample": ["oTotalprice"], "stddevPopulation": ["oTotalprice"]}, "round(stddev_samp(o_totalprice), 3) AS \"stddevSample_o_totalprice\", round(stddev_pop(o_totalprice), 3) AS \"stddevPopulation_o_totalprice\"", round_to=3)
-_agg("agg_variance", {"varianceSample": ["oTotalprice"], "variancePopulation": ["oTotalprice"]}, "round(var_samp(o_totalprice), -1) AS \"varianceSample_o_totalprice\", round(var_pop(o_totalprice), -1) AS \"variancePopulation_o_totalprice\"", round_to=-1)
+@add("agg_variance", "SELECT round(var_samp(l_quantity), 6) AS sample_quantity, round(var_pop(l_quantity), 6) AS population_quantity, round(var_samp(l_discount), 10) AS sample_discount, round(var_pop(l_discount), 10) AS population_discount FROM lineitem")
+def agg_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = engine(spark, sf_dir).connection("lineitem").aggregates({"varianceSample": ["lQuantity", "lDiscount"], "variancePopulation": ["lQuantity", "lDiscount"]})
+    places = {"quantity": 6, "discount": 10}
+    return got.select(*(F.round(f"variance{kind.title()}_l_{c}", n).alias(f"{kind}_{c}") for kind in ("sample", "population") for c, n in places.items()))
+
+
 _agg("agg_min_max", {"min": ["oTotalprice", "oOrderkey"], "max": ["oTotalprice", "oOrderkey"]}, "min(o_totalprice) AS min_o_totalprice, min(o_orderkey) AS min_o_orderkey, max(o_totalprice) AS max_o_totalprice, max(o_orderkey) AS max_o_orderkey", _LARGE, "o_totalprice > 150000")
 
 
@@ -425,8 +431,8 @@ def _typed_filter(name: str, where: dict, condition: str) -> None:
 
 _typed_filter("filter_json", {"or": [{"nJson": {"equalTo": {"a": 2, "b": [1.0, 2.5]}}}, {"nJson": {"equalTo": '{"a":3.0,"b":[1,2.5]}'}}]}, "n_regionkey IN (2, 3)")
 _typed_filter("filter_json_distinct", {"nJson": {"distinctFrom": {"b": [1, 2.5], "a": 0}}}, "n_regionkey <> 0")
-_typed_filter("filter_interval", {"nInterval": {"equalTo": {"months": 2, "years": 1}}}, "n_regionkey = 1 AND n_nationkey % 5 = 2")
-_typed_filter("filter_interval_null", {"or": [{"nInterval": {"isNull": True}}, {"nInterval": {"notDistinctFrom": {"years": 2, "months": 3, "days": 0}}}]}, "n_nationkey % 5 = 0 OR (n_regionkey = 2 AND n_nationkey % 5 = 3)")
+_typed_filter("filter_interval", {"nInterval": {"equalTo": {"months": 2, "years": 2}}}, "n_regionkey = 2 AND n_nationkey % 5 = 2")
+_typed_filter("filter_interval_null", {"or": [{"nInterval": {"isNull": True}}, {"nInterval": {"notDistinctFrom": {"years": 3, "months": 3, "days": 0}}}]}, "n_nationkey % 5 = 0 OR (n_regionkey = 3 AND n_nationkey % 5 = 3)")
 _typed_filter("filter_point", {"or": [{"nPoint": {"equalTo": {"x": 1, "y": 2}}}, {"nPoint": {"startsWith": "(0.5,1"}}, {"nPoint": {"in": ["(1.5,3)", "(2, 4)"]}}]}, "(n_regionkey = 2 AND n_nationkey = 2) OR (n_regionkey = 1 AND n_nationkey::VARCHAR LIKE '1%') OR (n_regionkey = 3 AND n_nationkey = 3) OR (n_regionkey = 4 AND n_nationkey = 4)")
 
 
