@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.errors import RequestError
@@ -22,15 +22,18 @@ def _linked(scope: Scope, relation: Relation, keys: DataFrame | list) -> tuple[S
     other = scope.to(relation.table)
     frame = other.frame()
     if relation.junction is None:
-        return other, _restricted(frame, other.col(relation.there), keys).withColumn(PARENT, other.col(relation.there))
+        return other, _restricted(frame, other.path(relation.there), keys).withColumn(PARENT, other.col(relation.there))
     table, own, far = relation.junction
     j = scope.to(table)
-    pairs = _restricted(j.frame(), j.col(own), keys).select(j.col(own).alias(PARENT), j.col(far).alias("__far")).distinct()
+    pairs = _restricted(j.frame(), j.path(own), keys).select(j.col(own).alias(PARENT), j.col(far).alias("__far")).distinct()
     return other, frame.join(pairs, other.col(relation.there) == F.col("__far")).drop("__far")
 
 
-def _restricted(df: DataFrame, column: Column, keys: DataFrame | list) -> DataFrame:
+def _restricted(df: DataFrame, path: str, keys: DataFrame | list) -> DataFrame:
+    column = F.col(path)
     if isinstance(keys, list):
+        if keys and len(keys) <= IN_FILTER and all(type(k) is int for k in keys):
+            return df.where(f"{path} IN ({', '.join(map(str, keys))})")  # one text takes less time to build than a literal for each
         if len(keys) <= IN_FILTER:
             return df.where(column.isin(*keys) if keys else F.lit(False))
         keys = df.sparkSession.createDataFrame([(k,) for k in keys], ["__key"])

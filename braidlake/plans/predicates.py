@@ -36,8 +36,11 @@ class Scope:
     def to(self, name: str) -> Scope:
         return Scope.of(self.catalog, name, self.point, self.historical)
 
+    def path(self, column: str) -> str:
+        return f"{self.alias}.`{column}`"
+
     def col(self, column: str) -> Column:
-        return F.col(f"{self.alias}.`{column}`")
+        return F.col(self.path(column))
 
     def valid(self) -> Column | None:
         return as_of(self.entity, self.alias, self.point) if self.historical else None
