@@ -258,11 +258,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _meetings(members: DataFrame) -> DataFrame:
+def _meetings(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(band, i, j, place, key, label): the texts of place i and of place j of a bucket, for all i <= j whose texts are to be compared.
 
     Members are (band, key, label, w, bytes). Any two of different labels meet, unless the greater weighs
-    more than 1 / SIMILARITY times the lesser, which rules out that they are similar. A bucket of one
+    more than 1 / similarity times the lesser, which rules out that they are similar. A bucket of one
     block is one place. In a larger one, texts of about a weight are places of a block each, and those of
     the bucket's most frequent label have places of their own, which meet those of the others only.
     """
@@ -271,7 +271,7 @@ def _meetings(members: DataFrame) -> DataFrame:
     buckets = by_label.groupBy("band").agg(F.max_by("label", most).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks_of = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
     buckets = stage(buckets.where("n > main_n").select("band", "main", (blocks_of(F.col("n"), F.col("size")) > 1).alias("large")))
-    level = F.floor(F.log(F.greatest("w", F.lit(1e-9))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
+    level = F.floor(F.log(F.greatest("w", F.lit(1e-9))) / F.log(F.lit(1 / similarity))).cast("int")
     m = members.join(buckets, "band").select("band", "key", "label", "bytes", F.when(F.col("large"), level).otherwise(0).alias("level"), (F.col("large") & (F.col("label") == F.col("main"))).alias("own"))
     m = stage(m)
     sized = m.groupBy("band", "level", "own").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).withColumn("blocks", blocks_of(F.col("n"), F.col("size")))
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # Then what no link has brought into one class; two members have been compared already.
     wide = members.where("n > 2").select("band", "key", "bytes", "w").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     wide = stage(wide)
-    more = stage(_closed(_meetings(wide), texts, idf, similarity))
+    more = stage(_closed(_meetings(wide, similarity), texts, idf, similarity))
     merged = components(more)
     to = merged.select(F.col("key").alias("label"), F.col("label").alias("to"))
     known = reps.select("key", "rep").join(labels, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
