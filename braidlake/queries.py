@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from braidlake.engine import Engine, Options
 from braidlake.functions import codec
+from braidlake.gql.parser import parse
+from braidlake.gql.validate import Limits, aliases, complexity, depth
 from braidlake.operators import relations, search
+from braidlake.operators.metadata import channel
 from braidlake.plans.connection import Page
 from braidlake.sources import samples
 from braidlake.sources.catalog import Catalog, Declared, ForeignKey
-from braidlake.streaming.changes import changes
+from braidlake.streaming.changes import changes, parsed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -436,4 +439,138 @@ _typed_filter("filter_interval_null", {"or": [{"nInterval": {"isNull": True}}, {
 _typed_filter("filter_point", {"or": [{"nPoint": {"equalTo": {"x": 1, "y": 2}}}, {"nPoint": {"startsWith": "(0.5,1"}}, {"nPoint": {"in": ["(1.5,3)", "(2, 4)"]}}]}, "(n_regionkey = 2 AND n_nationkey = 2) OR (n_regionkey = 1 AND n_nationkey::VARCHAR LIKE '1%') OR (n_regionkey = 3 AND n_nationkey = 3) OR (n_regionkey = 4 AND n_nationkey = 4)")
 
 
+# Catalog and API
+
+_TABLES = ", ".join(f"'{t}'" for t in samples.TABLES)
+_CAMEL = "array_to_string(list_transform(string_split(column_name, '_'), lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(w[1]) || w[2:] END), '')"
+_SCALAR = "CASE WHEN column_name = 'props' THEN 'JSON' WHEN data_type = 'BIGINT' THEN 'BigInt' WHEN data_type = 'INTEGER' THEN 'Int' WHEN data_type = 'DOUBLE' THEN 'Float' WHEN data_type LIKE 'TIMESTAMP%' THEN 'Datetime' WHEN data_type LIKE '%[]' THEN 'List' ELSE 'String' END"
+
+
+@add("catalog_columns", f"SELECT table_name, column_name, ordinal_position::INT AS place, {_CAMEL} AS field, CASE WHEN column_name = 'o_orderstatus' THEN 'Enum' ELSE {_SCALAR} END AS scalar FROM information_schema.columns WHERE table_name IN ({_TABLES})")
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Catalog.from_path(spark, sf_dir, None, samples.DECLARED).entities
+    rows = [(n, c, i + 1, f, e.scalar(c)) for n, e in found.items() if n in samples.TABLES for i, (f, c) in enumerate(e.fields.items())]
+    return spark.createDataFrame(rows, "table_name string, column_name string, place int, field string, scalar string")
+
+
+@add("catalog_keys", " UNION ALL ".join(f"SELECT '{t}.{k.column}' AS key_column, '{k.table}' AS parent, count(*) AS rows_with_parent FROM {t} WHERE {k.column} IN (SELECT {k.target} FROM {k.table})" for t, d in samples.DECLARED.items() for k in d.foreign_keys))
+def catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each declared key, how many rows the relation leads from."""
+    e, out = engine(spark, sf_dir), None
+    for t, entity in e.catalog.entities.items():
+        for r in entity.relations.values():
+            if r.kind == "forward":
+                n = e.connection(t, {f"{r.name}Exists": True}).total().select(F.lit(f"{t}.{r.here}").alias("key_column"), F.lit(r.table).alias("parent"), F.col("total_count").alias("rows_with_parent"))
+                out = n if out is None else out.unionByName(n)
+    return out
+
+
+@add("catalog_enum", "SELECT DISTINCT event_type AS value FROM events WHERE event_type IS NOT NULL")
+def catalog_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in engine(spark, sf_dir, "events").catalog.infer_enum("events", "event_type")], "value string")
+
+
+@add("introspection", f"SELECT {_CAMEL} AS field, CASE WHEN column_name = 'o_orderstatus' THEN 'OrderOOrderstatus' ELSE {_SCALAR} END AS scalar FROM information_schema.columns WHERE table_name = 'orders'")
+def introspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = engine(spark, sf_dir, "orders").graphql('{ __type(name: "Order") { fields { name type { name kind } } } }')["data"]["__type"]["fields"]
+    return spark.createDataFrame([(f["name"], f["type"]["name"]) for f in fields if f["name"] != "nodeId"], "field string, scalar string")
+
+
+@add("document_parts", "SELECT 'Nation' AS kind, n_nationkey AS key, n_name AS name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey > 10")
+def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases, fragments, variables and directives."""
+    text = """
+      query Q($least: Int = 3, $all: Boolean!) { found: nations(first: 100, filter: {nNationkey: {greaterThan: $least}}) { nodes { ...Part unasked: nName @skip(if: $all) } } }
+      fragment Part on Nation { kind: __typename key: nNationkey ... on Nation { nName @include(if: $all) } region: regionByNRegionkey { rName } }"""
+    nodes = engine(spark, sf_dir, "nation", "region").graphql(text, {"least": 10, "all": True})["data"]["found"]["nodes"]
+    return spark.createDataFrame([(n["kind"], n["key"], n["nName"], n["region"]["rName"]) for n in nodes if "unasked" not in n], "kind string, key int, name string, region string")
+
+
+@add("wire_forms", "SELECT l.l_orderkey::VARCHAR AS order_key, l.l_linenumber AS line, l.l_quantity AS quantity, strftime(l.l_shipdate, '%Y-%m-%dT%H:%M:%S') AS shipped, o.o_orderstatus AS status FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IN (1, 2, 3, 4, 5, 6, 7)")
+def wire_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit numbers are text, others numbers, times ISO text without parts of seconds, enumerations names."""
+    query = "{ lineitems(first: 100, filter: {lOrderkey: {in: [1, 2, 3, 4, 5, 6, 7]}}) { nodes { lOrderkey lLinenumber lQuantity lShipdate orderByLOrderkey { oOrderstatus } } } }"
+    nodes = engine(spark, sf_dir, "lineitem", "orders").graphql(query)["data"]["lineitems"]["nodes"]
+    rows = [(n["lOrderkey"], n["lLinenumber"], n["lQuantity"], n["lShipdate"], (n["orderByLOrderkey"] or {}).get("oOrderstatus")) for n in nodes]
+    return spark.createDataFrame([r for r in rows if r[4] is not None], "order_key string, line int, quantity double, shipped string, status string")
+
+
+@add("nodes_of_types", "SELECT 'Customer' AS kind, c_name AS name FROM customer WHERE c_custkey = 5 UNION ALL SELECT 'Nation', n_name FROM nation WHERE n_nationkey = 5 UNION ALL SELECT 'Supplier', s_name FROM supplier WHERE s_suppkey = 5")
+def nodes_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field for rows of any type, by node ids; an id that no row has is null, and one of no table an error."""
+    e = engine(spark, sf_dir, "customer", "nation", "supplier")
+    query = "query($id: ID!) { node(nodeId: $id) { __typename ... on Customer { name: cName } ... on Nation { name: nName } ... on Supplier { name: sName } } }"
+    answers = e.batch([{"query": query, "variables": {"id": codec.node_id(t, [k])}} for t, k in (("customer", 5), ("nation", 5), ("supplier", 5), ("customer", -1), ("nowhere", 1))])
+    nodes = [a["data"]["node"] for a in answers if "errors" not in a]
+    return spark.createDataFrame([(n["__typename"], n["name"]) for n in nodes if n is not None], "kind string, name string")
+
+
+@add("batch", "SELECT 0 AS place, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, count(*) FROM lineitem WHERE l_quantity > 40 UNION ALL SELECT 2, NULL")
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts without rows, one request after another; one with an error doesn't stop the others."""
+    asked = ("{ found: orders(filter: {oOrderstatus: {equalTo: F}}) { totalCount } }", "{ query { found: lineitems(filter: {lQuantity: {greaterThan: 40}}) { totalCount } } }", "{ found: orders(first: 1, last: 1) { totalCount } }")
+    answers = engine(spark, sf_dir, "orders", "lineitem").batch([{"query": q} for q in asked])
+    found = [(a["data"].get("query") or a["data"])["found"]["totalCount"] if a["data"] else None for a in answers]
+    return spark.createDataFrame(list(enumerate(found)), "place int, n long")
+
+
+@add("history_off", f"SELECT user_id, event_type, count(*) AS n FROM {_STATE} GROUP BY ALL")
+def history_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without history every version is a row."""
+    e = Engine(derived(spark, sf_dir).catalog, Options(timeout_s=None, historical=False))
+    return e.connection("state", point=5000).filtered().groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("versions_in_order", f"SELECT user_id, valid_from, row_number() OVER (ORDER BY user_id, valid_from)::INT AS place FROM {_STATE} ORDER BY user_id, valid_from LIMIT 100")
+def versions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a row, which share its key, stand by their start."""
+    e = Engine(derived(spark, sf_dir).catalog, Options(timeout_s=None, historical=False))
+    got = e.connection("state", order=["USER_ID_ASC"], first=100).fetch().rows
+    return spark.createDataFrame([(r["user_id"], r["valid_from"], i + 1) for i, r in enumerate(got)], "user_id long, valid_from long, place int")
+
+
+@add("history_argument", f"SELECT user_id::VARCHAR AS user_id, event_type FROM {_STATE} WHERE valid_from <= 900 AND (valid_to IS NULL OR 900 < valid_to) ORDER BY user_id::BIGINT LIMIT 100")
+def history_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of the argument that asks for a point is told by the metadata."""
+    c = derived(spark, sf_dir).catalog
+    told = lambda: spark.createDataFrame([("historicalStateEnabled", '"timestamp"')], "key string, value string")
+    e = Engine(Catalog(spark, {"state": c.sources["state"]}, {"state": Declared(key=("user_id",), versions=("valid_from", "valid_to"))}, {"_metadata": told}), Options(timeout_s=None, point_argument=None))
+    nodes = e.graphql('{ states(timestamp: "900", first: 100, orderBy: [USER_ID_ASC]) { nodes { userId eventType } } }')["data"]["states"]["nodes"]
+    return spark.createDataFrame([(n["userId"], n["eventType"]) for n in nodes], "user_id string, event_type string")
+
+
+@add("metadata_merged", "SELECT 'lastProcessedHeight' AS field, max(event_id)::VARCHAR AS value FROM events UNION ALL SELECT 'targetHeight', count(*)::VARCHAR FROM lineitem UNION ALL SELECT 'startHeight', NULL")
+def metadata_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's fields come before those that a service tells."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    table = lambda: read("events").select(F.lit("lastProcessedHeight").alias("key"), F.max("event_id").cast("string").alias("value"))
+    told = lambda: {"targetHeight": read("lineitem").count(), "lastProcessedHeight": -1}
+    e = Engine(Catalog(spark, {"nation": lambda: read("nation")}, {}, {"_metadata": table}), Options(timeout_s=None), told)
+    got = e.graphql("{ _metadata { lastProcessedHeight targetHeight startHeight } }")["data"]["_metadata"]
+    return spark.createDataFrame([(k, None if v is None else str(v)) for k, v in got.items()], "field string, value string")
+
+
+@add("change_payloads", f"SELECT event_id::VARCHAR AS id, {_KIND} AS mutation_type FROM events WHERE event_id % 3 = 0 AND {_KIND} <> 'DELETE'")
+def change_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes from lines of text on the channel of one table; what is no payload is dropped."""
+    good = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.expr(_KIND.replace("'DELETE'", "'VANISH'")).alias("mutation_type")))
+    line = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, F.lit("{not json")).otherwise(F.lit('{"id": null, "mutation_type": "INSERT"}'))
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(line.alias("value"), F.lit(channel("app", "events", "entity_change")).alias("topic"))
+    other = lines.select("value", F.lit(channel("app", "orders", "entity_change")).alias("topic"))
+    return parsed(lines.unionByName(other), table=("app", "events")).select("id", "mutation_type")
+
+
+@add("request_cost", "SELECT count(*) AS n, 6 AS complexity, 4 AS depth, 1 AS aliases FROM region")
+def request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields, their nesting and renamed ones, of a request that is just within its limits; one less of each is an error."""
+    query = "{ all: regions { totalCount nodes { rName nationsByNRegionkey { totalCount } } } }"
+    doc = parse(query)
+    cost = {"complexity": complexity(doc, doc.operations[0].selection), "depth": depth(doc, doc.operations[0].selection), "aliases": aliases(doc, doc.operations[0].selection)}
+    c = engine(spark, sf_dir, "region", "nation").catalog
+    got = Engine(c, Options(timeout_s=None, limits=Limits(**cost))).graphql(query)
+    refused = [Engine(c, Options(timeout_s=None, limits=Limits(**{k: v - 1}))).graphql(query).get("errors") for k, v in cost.items()]
+    n = got["data"]["all"]["totalCount"] if got["extensions"]["complexity"] == cost["complexity"] and all(refused) else -1
+    return spark.createDataFrame([(n, *cost.values())], "n long, complexity int, depth int, aliases int")
+
+
 FLAGSHIP = "order_by"
