@@ -599,6 +599,26 @@ def test_overlapping_licenses(spark):
     assert [got[i] for i in range(7)] == [(n, n) for n in want] and got[7][1] == "BSD-2-Clause,BSD-3-Clause"
 
 
+def test_whole_licenses(spark, tmp_path):
+    r = random.Random(3)
+    body = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    # Long texts are known by how they begin, with an address or so put in.
+    long = {n: t.replace("Foundation, Inc.", "Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston") for n, t in licenses.TEMPLATES if len(t) > 230 and n[-1].isdigit()}
+    rows_ = [(i, f"{body(40)}\n\n{t}\n{body(3000)}") for i, t in enumerate(long.values())]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(rows_, "doc_id long, text string"), "text", ["doc_id"]), "licenses")
+    assert {n: got[i] for i, n in enumerate(long)} == {n: (n,) for n in long} and len(long) > 12
+    # Whole texts as templates: a folder's.
+    whole = {"A": body(4000), "B": body(2500)}
+    for n, t in whole.items():
+        (tmp_path / f"{n}.txt").write_text(t)
+    words_ = whole["A"].split()
+    for at in r.sample(range(4000), 150):
+        words_[at] = "other"
+    rows_ = [(1, f"{body(500)} {' '.join(words_)} {body(500)}"), (2, whole["B"].upper()), (3, " ".join(whole["A"].split()[:1500]))]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(rows_, "doc_id long, text string"), "text", ["doc_id"], licenses.templates_in(str(tmp_path))), "license", "dice", "start_word")
+    assert got[1][0] == "A" and 0.9 < got[1][1] < 1 and got[1][2] == 500 and got[2] == ("B", 1.0, 0) and got[3] == (None, None, None)
+
+
 # 10
 
 def test_mixing(spark, odd, none):
