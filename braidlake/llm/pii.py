@@ -213,17 +213,28 @@ def surrogate(value: Column, key: Column) -> Column:
     return let(chosen, made)
 
 
-def _apart(items: Column, name, make, taken: Column, key: str) -> Column:
-    """array<struct<value, s>> of items: make(item, key) under the first key whose surrogate is neither a taken value nor another's."""
+def _apart(df: DataFrame, out: str, items: Column, name, make, taken: Column, key: str) -> DataFrame:
+    """df with the column `out`, array<struct<value, s>> of items: make(item, key) under the first key whose surrogate is neither a taken value nor another's.
+
+    Hardly any values clash under the first key; what this takes for the others grows with their number alone.
+    """
+    first, used_up, clash = fresh([*df.columns, out], "pii_first", "pii_taken", "pii_clash")
     keys = F.array(*(F.lit(key if k == 0 else f"{key}#{k}") for k in range(KEYS)))
-    start = F.array().cast("array<struct<value:string,s:string>>")
+    df = df.withColumn(first, F.transform(items, lambda item: F.struct(item.alias("item"), name(item).alias("value"), make(item, F.lit(key)).alias("s")))).withColumn(used_up, taken)
+    surrogates = F.transform(first, lambda x: x["s"])
+    in_order = F.array_sort(surrogates)
+    doubled = F.transform(F.filter(F.arrays_zip(F.slice(in_order, 2, F.greatest(F.size(first), F.lit(1))).alias("a"), in_order.alias("b")), lambda x: x["a"] == x["b"]), lambda x: x["a"])
+    df = df.withColumn(clash, F.array_union(doubled, F.array_intersect(surrogates, F.col(used_up))))
+    pairs = lambda made: F.transform(made, lambda x: F.struct(x["value"].alias("value"), x["s"].alias("s"))).cast("array<struct<value:string,s:string>>")
+    clashing = lambda x: F.array_contains(F.col(clash), x["s"])
 
-    def step(acc: Column, item: Column) -> Column:
-        used = lambda s: F.array_contains(taken, s) | F.exists(acc, lambda x: x["s"] == s)
-        s = F.aggregate(keys, F.lit(None).cast("string"), lambda s, k: F.when(s.isNull() | used(s), make(item, k)).otherwise(s))
-        return F.concat(acc, F.array(F.struct(name(item).alias("value"), s.alias("s"))))
+    def step(acc: Column, x: Column) -> Column:
+        used = lambda s: F.array_contains(F.col(used_up), s) | F.exists(acc, lambda y: y["s"] == s)
+        s = F.aggregate(keys, F.lit(None).cast("string"), lambda s, k: F.when(s.isNull() | used(s), make(x["item"], k)).otherwise(s))
+        return F.concat(acc, F.array(F.struct(x["value"].alias("value"), s.alias("s"))))
 
-    return F.aggregate(items, start, step)
+    parted = F.aggregate(F.filter(first, clashing), pairs(F.filter(first, lambda x: ~clashing(x))), step)
+    return df.withColumn(out, F.when(F.size(clash) == 0, pairs(F.col(first))).otherwise(parted)).drop(first, used_up, clash)
 
 
 def _of(made: Column, value: Column) -> Column:
@@ -237,7 +248,7 @@ def replace_pii(docs: DataFrame, text: str, key: str = KEY, details: bool = Fals
     whole, values that repeat get one surrogate, an empty table gives no rows. Other columns, whatever
     their names, are untouched. There is no shuffle: a document needs nothing from another.
     """
-    names, found, known, made, *counts = fresh(docs.columns, "pii_names", "pii_found", "pii_known", "pii_made", "n_entities", "collisions")
+    names, found, known, settled, made, *counts = fresh(docs.columns, "pii_names", "pii_found", "pii_known", "pii_settled", "pii_made", "n_entities", "collisions")
     t, nothing = F.col(f"`{text}`"), F.array().cast("array<string>")
     person = rf"^(?:{KINDS['person']})$"
     part = lambda e, i: F.trim(F.regexp_extract(e, _PERSON, i))
@@ -254,15 +265,16 @@ def replace_pii(docs: DataFrame, text: str, key: str = KEY, details: bool = Fals
     other = F.array_except(F.transform(F.filter(names, lambda n: ~n["given"]), lambda n: n["name"]), given)
     listed = F.concat(F.transform(given, lambda n: F.struct(n.alias("name"), F.lit(True).alias("given"))), F.transform(other, lambda n: F.struct(n.alias("name"), F.lit(False).alias("given"))))
     words = F.array_union(F.transform(names, lambda n: n["name"]), F.array_distinct(found))
-    named = _apart(listed, lambda n: n["name"], lambda n, k: F.when(n["given"], _given(n["name"], k)).otherwise(_surname(n["name"], k)), words, key)
-    out = out.withColumn(known, F.when(some, named).otherwise(F.array().cast("array<struct<value:string,s:string>>")))
+    out = _apart(out, known, listed, lambda n: n["name"], lambda n, k: F.when(n["given"], _given(n["name"], k)).otherwise(_surname(n["name"], k)), words, key)
     composed = lambda e: F.concat(F.regexp_extract(e, _PERSON, 1), F.when(part(e, 2) != "", F.concat(_of(F.col(known), part(e, 2)), F.lit(" "))).otherwise(""), _of(F.col(known), part(e, 3)))
     mention = lambda e: F.exists(names, lambda n: n["name"] == e)
     plain = F.filter(F.array_distinct(found), lambda e: ~e.rlike(person) & ~mention(e))
-    settled = _apart(plain, lambda e: e, surrogate, words, key)
+    out = _apart(out, settled, plain, lambda e: e, surrogate, words, key)
     persons = F.transform(F.filter(F.array_distinct(found), lambda e: e.rlike(person)), lambda e: F.struct(e.alias("value"), composed(e).alias("s")))
-    out = out.withColumn(made, F.when(some, F.concat(settled, known, persons)).otherwise(settled))
-    join = lambda pieces: let(F.col(made), lambda m: F.array_join(F.zip_with(pieces, F.col(found), lambda p, e: F.concat(p, F.coalesce(_of(m, e), F.lit("")))), ""))
+    out = out.withColumn(made, F.when(some, F.concat(settled, known, persons)).otherwise(F.col(settled)))
+    columns_of = F.struct(F.transform(made, lambda m: m["value"]).alias("v"), F.transform(made, lambda m: m["s"]).alias("s"))
+    at = lambda m, e: F.coalesce(F.get(m["s"], (F.array_position(m["v"], e) - 1).cast("int")), F.lit(""))
+    join = lambda pieces: let(columns_of, lambda m: F.array_join(F.zip_with(pieces, F.col(found), lambda p, e: F.concat(p, at(m, e))), ""))
     replaced = F.when(some, join(F.split(t, mentions, -1))).otherwise(join(F.split(t, ANY, -1)))
     columns = [F.when(F.size(found) > 0, replaced).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if details:
